@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from grantmill.llm.common import map_arrow, packed, saved, splitmix, table, texts, unpacked, word_hashes
 
 CONTEXTS, FREQUENT, K = 60_000, 1024, 5
-CHUNK_TOKENS, PARTITION_TOKENS, LEAST_PARTITIONS = 2_000_000, 6_000_000, 24
+CHUNK_TOKENS, PARTITION_TOKENS, LEAST_PARTITIONS = 1_000_000, 6_000_000, 24
 END, BOS = np.uint64(0x656E64), np.uint64(0x626F73)
 FOLDS, HELD_OUT = 5, 1
 
