@@ -10,8 +10,8 @@ agree. Signatures of the segments' subsets meet in buckets:
    the next lower band. Pairs in buckets of at most BUCKET sets are candidates. A set that keeps H + 1
    segments without those in larger buckets has met all its partners.
 2. Sets that don't (the cost-based allocation gives large buckets no credit) also send their segments with
-   one hash deleted: a segment whose deletions stay in small buckets counts two credits. Only pairs of two
-   such sets can be missing.
+   one hash deleted: a segment of two or more hashes whose deletions stay in small buckets counts two
+   credits. Only pairs of two such sets can be missing.
 3. What still lacks credits, mostly members of large groups of near copies, is compared inside the large
    buckets: first with a few central members, then, between different components, block by block.
 
@@ -98,8 +98,16 @@ def segments(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
         return start, np.add.reduceat(splitmix(s ^ np.uint64(band + 1)), start)
 
 
+def _filled(s: np.ndarray, band: int) -> tuple[int, int]:
+    """Non-empty segments, and those of one hash."""
+    start = segments(s, band)[0]
+    return len(start), int((np.diff(np.append(start, len(s))) == 1).sum())
+
+
 def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n (size of the set), node (its fingerprint), e_own and e_low (non-empty segments in the two bands)."""
+    """doc_id, n (size of the set), node (its fingerprint), e_own and e_low (non-empty segments in the two bands), s_own and s_low (those of one hash), band, low_top (greatest size in the lower band)."""
+
+    names = ("n", "node", "e_own", "e_low", "s_own", "s_low", "band", "low_top")
 
     def run(batches):
         for b in batches:
@@ -109,13 +117,14 @@ def profile(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 n = len(s)
                 if n:
                     k, low = band_of(n), needs(n)[1]
-                    rows.append((n, fingerprint(s), len(segments(s, k)[0]), len(segments(s, k - 1)[0]) if low else 0))
+                    (e_own, s_own), (e_low, s_low) = (_filled(s, b_) if there else (0, 0) for b_, there in ((k, True), (k - 1, low)))
+                    rows.append((n, fingerprint(s), e_own, e_low, s_own, s_low, k, int(bands()[0][k]) - 1))
                 else:
-                    rows.append((0, 0, 0, 0))
-            n, node, own, low = np.array(rows, dtype=np.uint64).reshape(-1, 4).T
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (n, node)), *(pa.array(x.astype(np.int32)) for x in (own, low))], ["doc_id", "n", "node", "e_own", "e_low"])
+                    rows.append((0,) * 8)
+            cols = np.array(rows, dtype=np.uint64).reshape(-1, 8).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in cols)], ["doc_id", *names])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n long, node long, e_own int, e_low int")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, " + ", ".join(f"{x} long" for x in names))
 
 
 def _sent(sig: np.ndarray, ids: np.ndarray, parts: int):
@@ -142,9 +151,12 @@ def _signatures(s: np.ndarray, deletions: bool) -> tuple[np.ndarray, np.ndarray]
             sigs.append(sig + place)
             ids.append(np.full(len(sig), node + np.uint64(role)))
             if deletions:
-                each = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(s))))
-                sigs.append(sig[each] + place[each] - splitmix(s ^ np.uint64(band + 1)))
-                ids.append(np.full(len(s), node + np.uint64(2 + role)))
+                length = np.diff(np.append(start, len(s)))
+                each = np.repeat(np.arange(len(start)), length)
+                more = length[each] > 1  # what is left of a single hash would meet no one: empty segments aren't sent
+                each = each[more]
+                sigs.append(sig[each] + place[each] - splitmix(s[more] ^ np.uint64(band + 1)))
+                ids.append(np.full(len(each), node + np.uint64(2 + role)))
     return np.concatenate(sigs), np.concatenate(ids)
 
 
@@ -186,8 +198,8 @@ def _runs(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig, ids, start, np.diff(np.append(start, len(sig)))
 
 
-def _pairs(part: int, blobs: list[bytes], bucket: int, deletions: bool) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(0, least, greatest) of the candidates and (1, key, id) of the rows in large buckets."""
+def _pairs(part: int, blobs: list[bytes], bucket: int, deletions: bool) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(0, least, greatest, common buckets) of the candidates and (1, key, id, 1) of the rows in large buckets."""
     cols = [np.concatenate(x) for x in zip(*map(unpacked, blobs), strict=True)]
     sig = cols[0].astype(np.uint64) | cols[1].astype(np.uint64) << np.uint64(32)
     ids = cols[2].astype(np.uint64) | cols[3].astype(np.uint64) << np.uint64(32)
@@ -196,7 +208,7 @@ def _pairs(part: int, blobs: list[bytes], bucket: int, deletions: bool) -> list[
     heavy = length > bucket
     rows = np.repeat(heavy, length)
     if rows.any():
-        out.append((1, (sig[rows] | np.uint64(part) << np.uint64(40)).view(np.int64), ids[rows].view(np.int64)))
+        out.append((1, (sig[rows] | np.uint64(part) << np.uint64(40)).view(np.int64), ids[rows].view(np.int64), np.ones(int(rows.sum()), dtype=np.int64)))
     found = []
     for size in range(2, bucket + 1):
         at = start[length == size]
@@ -209,13 +221,13 @@ def _pairs(part: int, blobs: list[bytes], bucket: int, deletions: bool) -> list[
         gone, low = p >> np.uint64(1) & np.uint64(1), p & np.uint64(1)
         keep = (low.sum(1) < 2) & ((gone.sum(1) == 1) if deletions else True)
         p = np.sort(p[keep] >> np.uint64(2), axis=1)
-        p = np.unique(p[p[:, 0] < p[:, 1]], axis=0)
-        out.append((0, np.ascontiguousarray(p[:, 0]).view(np.int64), np.ascontiguousarray(p[:, 1]).view(np.int64)))
+        p, c = np.unique(p[p[:, 0] < p[:, 1]], axis=0, return_counts=True)
+        out.append((0, np.ascontiguousarray(p[:, 0]).view(np.int64), np.ascontiguousarray(p[:, 1]).view(np.int64), c))
     return out
 
 
 def buckets(sent: DataFrame, parts: int, bucket: int, deletions: bool = False) -> DataFrame:
-    """kind, x, y as _pairs gives them."""
+    """kind, x, y, c as _pairs gives them."""
 
     def run(batches):
         own: dict[int, list[bytes]] = {}
@@ -223,19 +235,41 @@ def buckets(sent: DataFrame, parts: int, bucket: int, deletions: bool = False) -
             for part, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 own.setdefault(part, []).append(blob.as_py())
         for part in list(own):
-            for kind, x, y in _pairs(part, own.pop(part), bucket, deletions):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, dtype=np.int32)), pa.array(x), pa.array(y)], ["kind", "x", "y"])
+            for kind, x, y, c in _pairs(part, own.pop(part), bucket, deletions):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, dtype=np.int32)), pa.array(x), pa.array(y), pa.array(c.astype(np.int64))], ["kind", "x", "y", "c"])
 
-    return map_arrow(sent.repartition(parts, "part"), run, "kind int, x long, y long")
+    return map_arrow(sent.repartition(parts, "part"), run, "kind int, x long, y long, c long")
 
 
 def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates (x, y: 46 bits of the fingerprints) as nodes a < b of sizes that allow a link."""
-    c = classes.select(F.shiftrightunsigned("node", 18).alias("short"), "node", "n")
-    left, right = (c.select(F.col("short").alias(f"{k}s"), F.col("node").alias(k), F.col("n").alias(f"{k}n")) for k in "ab")
-    p = pairs.join(left, pairs["x"] == left["as"]).join(right, pairs["y"] == right["bs"])
-    p = p.where((4 * F.least("an", "bn") >= 3 * F.greatest("an", "bn")) & (F.col("a") != F.col("b")))
-    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Candidates (x, y: 46 bits of the fingerprints) as nodes a < b that can be linked.
+
+    A linked pair differs in at most H segments, so it agrees in at least e - lost - H segments in small
+    buckets (l1), e and lost being those of either set; with deletions, 2 l1 + l2 is at least
+    2 (e - lost) - s - lost2 - H, s being the segments of one hash. Fewer common buckets rule a link out.
+    """
+    c = classes.select(F.shiftrightunsigned("node", 18).alias("short"), "node", "n", "band", "b1_own", "b1_low", "b2_own", "b2_low")
+    p = pairs.groupBy("x", "y").agg(F.sum("l1").alias("l1"), F.sum("l2").alias("l2"))
+    for k, key in (("a", "x"), ("b", "y")):
+        side = c.select(*[F.col(x).alias(f"{k}_{x}") for x in c.columns])
+        p = p.join(side, p[key] == side[f"{k}_short"])
+    p = p.where((4 * F.least("a_n", "b_n") >= 3 * F.greatest("a_n", "b_n")) & (F.col("a_node") != F.col("b_node")))
+    most = F.floor((F.col("a_n") + F.col("b_n")) / 7)
+    bound = lambda k, o, i: F.when(F.col(f"{k}_band") > F.col(f"{o}_band"), F.col(f"{k}_b{i}_low")).otherwise(F.col(f"{k}_b{i}_own"))
+    p = p.where(F.col("l1") >= F.greatest(bound("a", "b", 1), bound("b", "a", 1)) - most)
+    second = F.least(bound("a", "b", 2), bound("b", "a", 2)).isNull() | (2 * F.col("l1") + F.col("l2") >= F.greatest(bound("a", "b", 2), bound("b", "a", 2)) - most)
+    return p.where(second).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+#: Up to this many ids are sent to all executors to pick documents; more ids are joined.
+BROADCAST_IDS = 1_000_000
+
+
+def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the wanted (saved) classes' representatives, with node."""
+    wanted = wanted.select("rep", "node")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(wanted, F.col("_d") == wanted["rep"]).select("node", "text")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
@@ -251,8 +285,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame
                     blobs.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], ["node", "hashes"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(wanted, F.col("_d") == wanted["rep"]).select("node", "text")
-    return map_arrow(rows, run, "node long, hashes binary").dropDuplicates(["node"])
+    return map_arrow(_picked(docs, wanted), run, "node long, hashes binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -343,39 +376,44 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, bucket
     total = classes.agg(F.sum(F.col("e_own") + F.col("e_low"))).first()[0] or 0
     parts = max(16, int(total) // PARTITION_SIGNATURES + 1)
     met = saved(buckets(signatures(docs, parts, words), parts, bucket))
-    # entities are (class, band); the id's last bit tells the band
-    roles = classes.select("node", "n", "rep", F.explode(F.array(F.struct(F.lit(0).alias("role"), F.col("e_own").alias("e")), F.struct(F.lit(1).alias("role"), F.col("e_low").alias("e")))).alias("r")).select("node", "n", "rep", "r.*").where(F.col("e") > 0)
-    lows = F.array(*[F.lit(int(x)) for x in bands()[0]])
-    top = F.aggregate(lows, F.lit(0).cast("long"), lambda acc, x: F.when(x <= F.col("n"), x - 1).otherwise(acc))
-    need = F.when(F.col("role") == 0, F.floor((F.col("n") + F.floor(F.col("n") * 4 / 3)) / 7)).otherwise(F.floor((top + F.col("n")) / 7)) + 1
-    entities = roles.select("node", "n", "rep", "e", need.alias("need"), F.shiftleft(F.shiftrightunsigned("node", 18), 2).bitwiseOR(F.col("role").cast("long")).alias("id"))
+    short_id = F.shiftrightunsigned("y", 2)
+    low_role = F.col("y").bitwiseAND(F.lit(1)) == 1
     large = met.where("kind = 1")
-    lost = large.groupBy(F.col("y").alias("_i")).agg(F.count("*").alias("lost"))
-    entities = entities.join(lost, entities["id"] == lost["_i"], "left").drop("_i").withColumn("lost", F.coalesce("lost", F.lit(0)))
-    short = saved(entities.where(F.col("e") - F.col("lost") < F.col("need")))
-    wanted = short.select("rep", "node").distinct()
-    pairs = met.where("kind = 0").select("x", "y")
-    rows = None
-    if not short.isEmpty():
-        second = docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(wanted, F.col("_d") == wanted["rep"]).select("text")
-        more = max(16, int(short.agg(F.sum(F.col("e") + F.col("n"))).first()[0]) // PARTITION_SIGNATURES + 1)
+    lost = large.groupBy(short_id.alias("_i")).agg(F.count_if(~low_role).alias("lost_own"), F.count_if(low_role).alias("lost_low"))
+    c = classes.withColumn("_s", F.shiftrightunsigned("node", 18)).join(lost, F.col("_s") == lost["_i"], "left").drop("_i", "_s")
+    c = c.withColumns({"b1_own": F.col("e_own") - F.coalesce("lost_own", F.lit(0)), "b1_low": F.col("e_low") - F.coalesce("lost_low", F.lit(0))}).drop("lost_own", "lost_low")
+    c = saved(c)
+    own_need = F.floor((F.col("n") + F.floor(F.col("n") * 4 / 3)) / 7) + 1
+    low_need = F.floor((F.col("low_top") + F.col("n")) / 7) + 1
+    short_own, short_low = F.col("b1_own") < own_need, (F.col("e_low") > 0) & (F.col("b1_low") < low_need)
+    short = saved(c.where(short_own | short_low))
+    pairs = met.where("kind = 0").select("x", "y", F.col("c").alias("l1"), F.lit(0).cast("long").alias("l2"))
+    rows, null = None, F.lit(None).cast("long")
+    if short.isEmpty():
+        c = c.withColumns({"b2_own": null, "b2_low": null})
+    else:
+        second = _picked(docs, short).select("text")
+        more = max(16, int(short.agg(F.sum(F.col("e_own") + F.col("e_low") + 2 * F.col("n"))).first()[0]) // PARTITION_SIGNATURES + 1)
         deleted = saved(buckets(signatures(second, more, words, deletions=True), more, bucket, deletions=True))
-        pairs = pairs.union(deleted.where("kind = 0").select("x", "y"))
-        kept_low = F.col("y").bitwiseAND(F.lit(-3))
-        lost2 = deleted.where("kind = 1").groupBy(kept_low.alias("_i")).agg(F.count("*").alias("lost2"))
-        still = short.join(lost2, short["id"] == lost2["_i"], "left").drop("_i")
-        still = saved(still.where(2 * (F.col("e") - F.col("lost")) - F.coalesce("lost2", F.lit(0)) < F.col("need")).select("id", "node", "n", "rep", "e", "need"))
+        pairs = pairs.unionByName(deleted.where("kind = 0").select("x", "y", F.lit(0).cast("long").alias("l1"), F.col("c").alias("l2")))
+        lost2 = deleted.where("kind = 1").groupBy(short_id.alias("_i")).agg(F.count_if(~low_role).alias("o"), F.count_if(low_role).alias("l"))
+        s2 = short.withColumn("_s", F.shiftrightunsigned("node", 18)).join(lost2, F.col("_s") == lost2["_i"], "left")
+        s2 = saved(s2.withColumns({"b2_own": 2 * F.col("b1_own") - F.col("s_own") - F.coalesce("o", F.lit(0)), "b2_low": 2 * F.col("b1_low") - F.col("s_low") - F.coalesce("l", F.lit(0))}).drop("_i", "o", "l"))
+        b2 = s2.select(F.col("node").alias("_n"), "b2_own", "b2_low")
+        c = c.join(b2, c["node"] == b2["_n"], "left").drop("_n")
+        role = lambda r, e, s, need, bad: F.struct(F.lit(r).cast("long").alias("role"), F.col(e).alias("e"), F.col(s).alias("s"), need.alias("need"), bad.alias("bad"))
+        still = s2.select("_s", "node", "n", "band", F.explode(F.array(role(0, "e_own", "s_own", own_need, short_own & (F.col("b2_own") < own_need)), role(1, "e_low", "s_low", low_need, short_low & (F.col("b2_low") < low_need)))).alias("r"))
+        still = saved(still.where("r.bad").select(F.shiftleft("_s", 2).bitwiseOR(F.col("r.role")).alias("id"), "node", "n", F.col("band") - F.col("r.role"), "r.e", "r.s", "r.need").toDF("id", "node", "n", "band", "e", "s", "need"))
         if not still.isEmpty():
-            # sets with too few segments for any allocation meet in a bucket of their band
-            whole = still.where(2 * F.col("e") < F.col("need"))
-            band = F.size(F.filter(lows, lambda x: x <= F.col("n"))) - F.col("id").bitwiseAND(F.lit(1))
             # an entity with enough non-empty segments shares one with each partner; the others need their deletions too
             few = still.where(F.col("e") < F.col("need")).select(F.col("id").alias("_i"))
             places = large.select("x", F.col("y").alias("i"))
-            places = places.union(deleted.where("kind = 1").select(F.col("x") + (1 << 62), kept_low.alias("i")).join(few, F.col("i") == F.col("_i"), "left_semi"))
+            places = places.union(deleted.where("kind = 1").select(F.col("x") + (1 << 62), F.col("y").bitwiseAND(F.lit(-3)).alias("i")).join(few, F.col("i") == F.col("_i"), "left_semi"))
             rows = places.join(still.select("id", "node", "n"), F.col("i") == F.col("id")).select(F.col("x").alias("key"), "node", "n")
-            rows = rows.union(whole.select((-1 - band).cast("long"), "node", "n")).distinct()
-    named = saved(_named(pairs.distinct(), classes))
+            # sets with too few segments for any allocation meet in a bucket of their band
+            whole = still.where(2 * F.col("e") - F.col("s") < F.col("need"))
+            rows = rows.union(whole.select((-1 - F.col("band")).cast("long"), "node", "n")).distinct()
+    named = saved(_named(pairs, c))
     if rows is not None:
         weight = rows.groupBy(F.col("node").alias("_n")).agg(F.count("*").alias("w"))
         rows = rows.join(weight, rows["node"] == weight["_n"]).drop("_n")
@@ -385,7 +423,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, bucket
     nodes = named.select(F.col("a").alias("node")).union(named.select("b"))
     if rows is not None:
         nodes = nodes.union(rows.select("node"))
-    sets = saved(sets_of(docs, classes.join(nodes.distinct(), "node", "left_semi").select("rep", "node"), words))
+    picked = saved(classes.join(nodes.distinct(), "node", "left_semi").select("rep", "node"))
+    sets = saved(sets_of(docs, picked, words).repartition("node"))
 
     def near(p):
         """Sizes that allow a link, in order."""
@@ -425,7 +464,7 @@ def join_components(docs: DataFrame, words: int = WORDS, bucket: int = BUCKET, s
     """doc_id, n_shingles and component_id of every row of docs."""
     found = saved(profile(docs, words))
     linkable = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = saved(linkable.groupBy("node", "n", "e_own", "e_low").agg(F.min("doc_id").alias("rep")))
+    classes = saved(linkable.groupBy("node", "n", "e_own", "e_low", "s_own", "s_low", "band", "low_top").agg(F.min("doc_id").alias("rep")))
     comps = link_classes(docs, classes, words, bucket, stars)
     label = classes.select("node", "rep")
     if comps is not None:
