@@ -36,8 +36,8 @@ from grantmill.llm.common import map_arrow, packed, saved, splitmix, table, text
 from grantmill.llm.components import components
 
 WORDS, BUCKET, STARS = 5, 24, 2
-#: Sets in a block, and distinct hashes compared at a time, where members of large buckets meet.
-BLOCK, BLOCK_TOKENS = 256, 4096
+#: Sets and hashes in a block, and distinct hashes compared at a time, where members of large buckets meet.
+BLOCK, BLOCK_HASHES, BLOCK_TOKENS = 2048, 400_000, 4096
 #: Signatures gathered in one partition, and held by one task before it sends them.
 PARTITION_SIGNATURES, HELD_SIGNATURES = 1_000_000, 2_000_000
 _C = np.uint64(0xA0761D6478BD642F)
@@ -352,19 +352,21 @@ def _in_blocks(rows: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between different components inside the large buckets that are left.
 
     The buckets with one central member form a cluster. Each member outside the cluster's largest component
-    is compared with all members, a block of BLOCK sets against another at a time; a set travels once for
+    is compared with all members, a block of sets against another at a time; a set travels once for
     each block it is compared with, and no pair is written but links.
     """
     centre = rows.groupBy("key").agg(F.max(F.struct("w", "node")).alias("m")).select(F.col("key").alias("_k"), F.col("m.node").alias("c"))
-    members = rows.join(centre, rows["key"] == centre["_k"]).select("c", "node").distinct()
+    members = rows.join(centre, rows["key"] == centre["_k"]).select("c", "node", "n").distinct()
     cc = comps.select(F.col("node").alias("_n"), "component")
-    members = members.join(cc, members["node"] == cc["_n"], "left").select("c", "node", F.coalesce("component", "node").alias("component"))
-    per = members.groupBy("c", "component").agg(F.count("*").alias("k")).groupBy(F.col("c").alias("_c")).agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("n_all"), F.max("k").alias("n_main"))
+    members = members.join(cc, members["node"] == cc["_n"], "left").select("c", "node", "n", F.coalesce("component", "node").alias("component"))
+    per = members.groupBy("c", "component").agg(F.count("*").alias("k"), F.sum("n").alias("t"))
+    per = per.groupBy(F.col("c").alias("_c")).agg(F.max_by(F.struct("component", "k", "t"), F.struct("k", "component")).alias("main"), F.sum("k").alias("k"), F.sum("t").alias("t"))
     members = members.join(per, members["c"] == per["_c"])
-    lefts, rights = (F.greatest(F.ceil(x / BLOCK), F.lit(1)) for x in (F.col("n_all") - F.col("n_main"), F.col("n_all")))
+    blocks = lambda k, t: F.greatest(F.ceil(k / BLOCK), F.ceil(t / BLOCK_HASHES), F.lit(1))
+    lefts, rights = blocks(F.col("k") - F.col("main.k"), F.col("t") - F.col("main.t")), blocks(F.col("k"), F.col("t"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     h = F.xxhash64("node")
-    left = members.where("component <> main").select("c", F.pmod(h, lefts).alias("i"), upto(rights).alias("j"), F.lit(0).alias("side"), "node", "component")
+    left = members.where(F.col("component") != F.col("main.component")).select("c", F.pmod(h, lefts).alias("i"), upto(rights).alias("j"), F.lit(0).alias("side"), "node", "component")
     right = members.select("c", upto(lefts).alias("i"), F.pmod(h, rights).alias("j"), F.lit(1).alias("side"), "node", "component")
     both = left.union(right)
     s = sets.select(F.col("node").alias("_s"), "hashes")
