@@ -438,8 +438,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, bucket
     for turn in range(stars):
         batch = first if turn == 0 else _between(named, comps) if turn == 1 else None
         if open_rows is not None:
-            centre = open_rows.groupBy("key").agg(F.max(F.struct("w", "node", "n")).alias("m")).select(F.col("key").alias("_k"), F.col("m.node").alias("c"), F.col("m.n").alias("cn"))
-            spokes = open_rows.join(centre, open_rows["key"] == centre["_k"]).select(F.col("c").alias("a"), F.col("cn").alias("an"), F.col("node").alias("b"), F.col("n").alias("bn"))
+            centre = open_rows.groupBy("key").agg(F.max(F.struct("w", "node", "n")).alias("m")).select(F.col("key").alias("_k"), F.col("m.node").alias("c"), F.col("m.n").alias("cn"), F.col("m.w").alias("cw"))
+            spokes = open_rows.join(centre, open_rows["key"] == centre["_k"]).select(F.col("c").alias("a"), F.col("cn").alias("an"), "cw", F.col("node").alias("b"), F.col("n").alias("bn"))
+            if turn == 0:  # each member meets the most central of its centres first
+                spokes = spokes.groupBy("b", "bn").agg(F.max(F.struct("cw", "a", "an")).alias("m")).select("m.a", "m.an", "b", "bn")
             spokes = _between(near(spokes), comps)
             batch = spokes if batch is None else batch.union(spokes).distinct()
         if batch is None:
@@ -448,8 +450,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, bucket
         links = new if links is None else links.union(new)
         comps = components(links)
         if open_rows is not None:
-            # a centre has met its whole bucket; buckets within one component are done
-            left = open_rows.join(centre, open_rows["key"] == centre["_k"]).where(F.col("node") != F.col("c")).select("key", "node", "n", "w")
+            # after the first turn a centre has met its whole bucket; buckets within one component are done
+            left = open_rows if turn == 0 else open_rows.join(centre, open_rows["key"] == centre["_k"]).where(F.col("node") != F.col("c")).select("key", "node", "n", "w")
             c = comps.select(F.col("node").alias("_n"), "component")
             left = left.join(c, left["node"] == c["_n"], "left").withColumn("component", F.coalesce("component", "node"))
             alive = left.groupBy(F.col("key").alias("_k")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
