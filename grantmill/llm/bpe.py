@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from grantmill.llm.common import map_arrow, table
 
 #: The pieces kept for reuse in a worker; beyond, the memory of pieces starts anew.
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 100_000
 
 
 @functools.lru_cache(1)
