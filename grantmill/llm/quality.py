@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantmill.llm.common import WORD_SPLIT, WS, with_columns
+from grantmill.llm.common import WORD_SPLIT, WS, saved, with_columns
 
 SYMBOLS = "#*$%&|<>"
 #: A line is removed when it stands in at least MIN_DOCS distinct documents of its host and in more
@@ -17,6 +17,8 @@ SYMBOLS = "#*$%&|<>"
 #: MIN_LEFT of its words.
 MIN_DOCS, MAX_SHARE, MIN_LEFT = 5, 0.005, 0.3
 
+BROADCAST_ROWS = 300_000
+
 _WORDS = rf"filter(split(coalesce(text, ''), '{WORD_SPLIT}'), w -> w != '')".replace("\\", "\\\\")
 _WINDOW = ", ".join(f"get(h, i + {k})" for k in range(8))
 #: Words in 8-word windows that occur twice or more. Most texts end at the first test; the others sort
@@ -93,6 +95,9 @@ def _judged(docs: DataFrame, min_docs: int, max_share: float, min_left: float, w
     found = _found(docs, min_docs, max_share)
     if not with_places:
         found = found.drop("_places")
+    else:  # texts stay where they are while the documents with such lines are few enough to send to all
+        found = saved(found)
+        found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     df = with_columns(features(docs), {"_t": F.xxhash64("text")})
     df = df if with_places else df.drop("text")
     df = df.join(found, df["doc_id"].eqNullSafe(found["rd"]) & (df["_t"] == found["rt"]) & df["source"].eqNullSafe(found["rh"]), "left").drop("rd", "rt", "rh", "_t")
