@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantmill.llm.common import table, with_columns
+from grantmill.llm.common import saved, table, with_columns
 
 #: (verdict, host, start of the path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -57,12 +57,14 @@ def templates(labelled: DataFrame, max_children: int = MAX_CHILDREN, depth: int
         F.count("*").alias("n"),
         F.count_if(F.col("rule_verdict") == "block").alias("blocked"), F.count("rule_verdict").alias("labels"))
     t = t.withColumn("segs", F.slice(F.split("shape", "/"), 2, 1 << 20)).withColumn("template", F.lit(""))
+    t = saved(t)  # a level reads it twice: without a cut the plan would double with each
     for level in range(depth):
         seg = F.get("segs", F.lit(level))
         children = t.where(seg.isNotNull()).select("host", "template", seg.alias("seg")).distinct().groupBy(F.col("host").alias("_h"), F.col("template").alias("_t")).agg(F.count("*").alias("_c"))
         t = t.join(children, (t["host"] == children["_h"]) & (t["template"] == children["_t"]), "left").drop("_h", "_t")
         step = F.when((F.col("_c") > max_children) & ~seg.contains("{"), F.lit("*")).otherwise(seg)
         t = t.withColumn("template", F.when(seg.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("_c")
+        t = saved(t)
     t = t.withColumn("template", F.when(F.size("segs") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).drop("segs")
     branches = t.groupBy("host", "template").agg(F.sum("blocked").alias("b"), F.sum("labels").alias("l"))
     branches = branches.withColumn("parent", F.regexp_replace("template", r"/[^/]*$", ""))
