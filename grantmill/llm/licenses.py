@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grantmill.llm.common import map_arrow, table
+from grantmill.llm.common import map_arrow, saved, table
 
 #: Usual wordings of licence notices.
 TEMPLATES = (
@@ -121,8 +121,10 @@ def own_licenses(files: DataFrame, cosine: float = COSINE, file_words: int = FIL
 
 
 def inherit(files: DataFrame) -> DataFrame:
-    """files (with path, own_license, is_license_file) with license and license_from ('own', the directory, or null)."""
-    df = files.withColumn("_dir", F.regexp_replace(F.coalesce("path", F.lit("")), r"/?[^/]*$", ""))
+    """files (with path, own_license, is_license_file) with license and license_from ('own', the directory, or null).
+
+    The files are saved first: their rows have no text, and the joins read them three times."""
+    df = saved(files).withColumn("_dir", F.regexp_replace(F.coalesce("path", F.lit("")), r"/?[^/]*$", ""))
     counts = df.where("is_license_file").groupBy("_dir", "own_license").agg(F.count("*").alias("n"))
     given = counts.groupBy(F.col("_dir").alias("up")).agg(F.max_by("own_license", F.struct("n", "own_license")).alias("dir_license"))
     dirs = df.select("_dir").distinct().withColumn("_p", F.split("_dir", "/"))
