@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,17 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read again, for tables that a loop joins over and over.
+
+    A checkpoint keeps the estimated size of its plan. Where each round joins the last one's tables, the estimates
+    multiply until the planner does nothing but arithmetic on them; files have their real size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_columns(df: DataFrame, columns: dict) -> DataFrame:
     """Adds columns; a computed column replaces an input column of that name (any case)."""
     taken = {c.lower() for c in columns}

@@ -12,8 +12,9 @@ agree. Signatures of the segments' subsets meet in buckets:
 2. Sets that don't (the cost-based allocation gives large buckets no credit) also send their segments with
    one hash deleted: a segment of two or more hashes whose deletions stay in small buckets counts two
    credits. Only pairs of two such sets can be missing.
-3. What still lacks credits, mostly members of large groups of near copies, is compared inside the large
-   buckets: first with a few central members, then, between different components, block by block.
+3. What still lacks credits, mostly members of large groups of near copies, is compared inside as many of
+   its large buckets as it lacks credits: first with a few central members, then, between different
+   components, block by block.
 
 Candidates are verified exactly on the sets. Equal sets are one node from the start. Candidates inside a
 component already found are skipped, since only components are returned; no link between components is
@@ -29,7 +30,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantmill.llm.common import map_arrow, packed, saved, splitmix, table, texts, unpacked, word_hashes
@@ -199,7 +200,7 @@ def _runs(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _pairs(part: int, blobs: list[bytes], bucket: int, deletions: bool) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(0, least, greatest, common buckets) of the candidates and (1, key, id, 1) of the rows in large buckets."""
+    """(0, least, greatest, common buckets) of the candidates and (1, key, id, ids in the bucket) of the rows in large buckets."""
     cols = [np.concatenate(x) for x in zip(*map(unpacked, blobs), strict=True)]
     sig = cols[0].astype(np.uint64) | cols[1].astype(np.uint64) << np.uint64(32)
     ids = cols[2].astype(np.uint64) | cols[3].astype(np.uint64) << np.uint64(32)
@@ -208,7 +209,7 @@ def _pairs(part: int, blobs: list[bytes], bucket: int, deletions: bool) -> list[
     heavy = length > bucket
     rows = np.repeat(heavy, length)
     if rows.any():
-        out.append((1, (sig[rows] | np.uint64(part) << np.uint64(40)).view(np.int64), ids[rows].view(np.int64), np.ones(int(rows.sum()), dtype=np.int64)))
+        out.append((1, (sig[rows] | np.uint64(part) << np.uint64(40)).view(np.int64), ids[rows].view(np.int64), np.repeat(length, length)[rows]))
     found = []
     for size in range(2, bucket + 1):
         at = start[length == size]
@@ -403,18 +404,22 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, bucket
         s2 = saved(s2.withColumns({"b2_own": 2 * F.col("b1_own") - F.col("s_own") - F.coalesce("o", F.lit(0)), "b2_low": 2 * F.col("b1_low") - F.col("s_low") - F.coalesce("l", F.lit(0))}).drop("_i", "o", "l"))
         b2 = s2.select(F.col("node").alias("_n"), "b2_own", "b2_low")
         c = c.join(b2, c["node"] == b2["_n"], "left").drop("_n")
-        role = lambda r, e, s, need, bad: F.struct(F.lit(r).cast("long").alias("role"), F.col(e).alias("e"), F.col(s).alias("s"), need.alias("need"), bad.alias("bad"))
-        still = s2.select("_s", "node", "n", "band", F.explode(F.array(role(0, "e_own", "s_own", own_need, short_own & (F.col("b2_own") < own_need)), role(1, "e_low", "s_low", low_need, short_low & (F.col("b2_low") < low_need)))).alias("r"))
-        still = saved(still.where("r.bad").select(F.shiftleft("_s", 2).bitwiseOR(F.col("r.role")).alias("id"), "node", "n", F.col("band") - F.col("r.role"), "r.e", "r.s", "r.need").toDF("id", "node", "n", "band", "e", "s", "need"))
+        role = lambda r, b1, e, s, need, bad: F.struct(F.lit(r).cast("long").alias("role"), F.col(e).alias("e"), F.col(s).alias("s"), need.alias("need"), (need - F.col(b1)).alias("lack"), bad.alias("bad"))
+        still = s2.select("_s", "node", "n", "band", F.explode(F.array(role(0, "b1_own", "e_own", "s_own", own_need, short_own & (F.col("b2_own") < own_need)), role(1, "b1_low", "e_low", "s_low", low_need, short_low & (F.col("b2_low") < low_need)))).alias("r"))
+        still = saved(still.where("r.bad").select(F.shiftleft("_s", 2).bitwiseOR(F.col("r.role")).alias("id"), "node", "n", F.col("band") - F.col("r.role"), "r.e", "r.s", "r.need", "r.lack").toDF("id", "node", "n", "band", "e", "s", "need", "lack"))
         if not still.isEmpty():
-            # an entity with enough non-empty segments shares one with each partner; the others need their deletions too
+            # An entity with enough non-empty segments agrees with a partner in all but H of them at most. In one order
+            # of all buckets (small ones first, then the largest) the first they share is among the first H + 1 of
+            # either, so the small ones and as many large ones as credits lack do. The others need all, deletions too.
             few = still.where(F.col("e") < F.col("need")).select(F.col("id").alias("_i"))
-            places = large.select("x", F.col("y").alias("i"))
-            places = places.union(deleted.where("kind = 1").select(F.col("x") + (1 << 62), F.col("y").bitwiseAND(F.lit(-3)).alias("i")).join(few, F.col("i") == F.col("_i"), "left_semi"))
-            rows = places.join(still.select("id", "node", "n"), F.col("i") == F.col("id")).select(F.col("x").alias("key"), "node", "n")
+            places = large.select("x", F.col("y").alias("i"), F.col("c").alias("size"))
+            places = places.union(deleted.where("kind = 1").select(F.col("x") + (1 << 62), F.col("y").bitwiseAND(F.lit(-3)).alias("i"), "c").join(few, F.col("i") == F.col("_i"), "left_semi"))
+            rows = places.join(still.select("id", "node", "n", "e", "need", "lack"), F.col("i") == F.col("id"))
+            rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("size"), "x"))).where((F.col("e") < F.col("need")) | (F.col("_r") <= F.col("lack")))
+            rows = rows.select(F.col("x").alias("key"), "node", "n", "size")
             # sets with too few segments for any allocation meet in a bucket of their band
             whole = still.where(2 * F.col("e") - F.col("s") < F.col("need"))
-            rows = rows.union(whole.select((-1 - F.col("band")).cast("long"), "node", "n")).distinct()
+            rows = rows.union(whole.select((-1 - F.col("band")).cast("long"), "node", "n", F.lit(0).cast("long"))).distinct()
     named = saved(_named(pairs, c))
     if rows is not None:
         weight = rows.groupBy(F.col("node").alias("_n")).agg(F.count("*").alias("w"))
@@ -432,16 +437,15 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, bucket
         """Sizes that allow a link, in order."""
         return p.where(F.col("a") != F.col("b")).where(4 * F.least("an", "bn") >= 3 * F.greatest("an", "bn")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    # first each node with its least candidate, and each member of a large bucket with the most central one
+    # first each node with its least candidate, and each member of large buckets with the most central one of its largest
     first = named.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links, comps, open_rows = None, None, rows
     for turn in range(stars):
         batch = first if turn == 0 else _between(named, comps) if turn == 1 else None
         if open_rows is not None:
-            centre = open_rows.groupBy("key").agg(F.max(F.struct("w", "node", "n")).alias("m")).select(F.col("key").alias("_k"), F.col("m.node").alias("c"), F.col("m.n").alias("cn"), F.col("m.w").alias("cw"))
-            spokes = open_rows.join(centre, open_rows["key"] == centre["_k"]).select(F.col("c").alias("a"), F.col("cn").alias("an"), "cw", F.col("node").alias("b"), F.col("n").alias("bn"))
-            if turn == 0:  # each member meets the most central of its centres first
-                spokes = spokes.groupBy("b", "bn").agg(F.max(F.struct("cw", "a", "an")).alias("m")).select("m.a", "m.an", "b", "bn")
+            met_in = open_rows if turn else open_rows.groupBy("node", "n", "w").agg(F.max(F.struct("size", "key")).alias("m")).select("m.key", "node", "n", "w")
+            centre = met_in.groupBy("key").agg(F.max(F.struct("w", "node", "n")).alias("m")).select(F.col("key").alias("_k"), F.col("m.node").alias("c"), F.col("m.n").alias("cn"))
+            spokes = met_in.join(centre, met_in["key"] == centre["_k"]).select(F.col("c").alias("a"), F.col("cn").alias("an"), F.col("node").alias("b"), F.col("n").alias("bn"))
             spokes = _between(near(spokes), comps)
             batch = spokes if batch is None else batch.union(spokes).distinct()
         if batch is None:
@@ -451,11 +455,11 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, bucket
         comps = components(links)
         if open_rows is not None:
             # after the first turn a centre has met its whole bucket; buckets within one component are done
-            left = open_rows if turn == 0 else open_rows.join(centre, open_rows["key"] == centre["_k"]).where(F.col("node") != F.col("c")).select("key", "node", "n", "w")
+            left = open_rows if turn == 0 else open_rows.join(centre, open_rows["key"] == centre["_k"]).where(F.col("node") != F.col("c")).select("key", "node", "n", "w", "size")
             c = comps.select(F.col("node").alias("_n"), "component")
             left = left.join(c, left["node"] == c["_n"], "left").withColumn("component", F.coalesce("component", "node"))
             alive = left.groupBy(F.col("key").alias("_k")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-            open_rows = saved(left.join(alive, left["key"] == alive["_k"], "left_semi").select("key", "node", "n", "w"))
+            open_rows = saved(left.join(alive, left["key"] == alive["_k"], "left_semi").select("key", "node", "n", "w", "size"))
             if open_rows.isEmpty():
                 open_rows = None
     if open_rows is not None:
