@@ -156,20 +156,20 @@ QUERIES: dict[str, str] = {
     "md5_key": "SELECT doc_id, md5(text) AS h FROM {documents}",
     "word_freq": D + ", t AS (SELECT EXPLODE(SPLIT(RXREPLACE(lower(plain), ' +', ' '), ' ')) AS w FROM d) SELECT w, CAST(count(*) AS BIGINT) AS n FROM t WHERE length(w) > 2 AND w NOT IN ('the', 'and', 'der', 'die', 'des', 'las', 'los') GROUP BY w",
     "word_freq_by_class": D + ", t AS (SELECT lang, EXPLODE(SPLIT(RXREPLACE(lower(plain), ' +', ' '), ' ')) AS w FROM d) SELECT lang, w, CAST(count(*) AS BIGINT) AS n FROM t WHERE length(w) > 2 GROUP BY lang, w",
-    "concat_text": "SELECT doc_id, concat_ws(' ', source, lang) AS both_, concat(CASE WHEN doc_id % 2 = 0 THEN source END, lang) AS loose FROM {documents} WHERE doc_id % 2 = 0",
+    "concat_text": "SELECT doc_id, concat_ws(' ', source, lang) AS both_, CASE WHEN doc_id % 2 = 0 THEN source END || lang AS loose FROM {documents}",
     "numeric_audit": "WITH t AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'x' ELSE CAST(o_totalprice AS VARCHAR(30)) END AS v FROM {orders}) SELECT CAST(count_if(v IS NOT NULL AND TRYDOUBLE(v) IS NULL) AS BIGINT) AS bad, CAST(count_if(TRYDOUBLE(v) < 0) AS BIGINT) AS negative, min(TRYDOUBLE(v)) AS lo, max(TRYDOUBLE(v)) AS hi, CAST(count_if(TRYDOUBLE(v) > 1000000000000000) AS BIGINT) AS huge FROM t",
     "null_counts": "SELECT CAST(count(*) - count(text) AS BIGINT) AS text, CAST(count(*) - count(lang) AS BIGINT) AS lang, CAST(count(*) - count(source) AS BIGINT) AS source FROM {documents}",
     "profile_columns": "SELECT 'text' AS col, CAST(count(text) AS BIGINT) AS non_null, CAST(count(DISTINCT text) AS BIGINT) AS uniq FROM {documents} UNION ALL SELECT 'lang', CAST(count(lang) AS BIGINT), CAST(count(DISTINCT lang) AS BIGINT) FROM {documents} UNION ALL SELECT 'source', CAST(count(source) AS BIGINT), CAST(count(DISTINCT source) AS BIGINT) FROM {documents}",
     "strlen_audit": "SELECT CAST(max(length(text)) AS BIGINT) AS longest, CAST(count_if(length(text) > 2045) AS BIGINT) AS over_limit FROM {documents}",
     "mojibake_by_year": "SELECT lang, round(avg(CASE WHEN contains(text, 'Ã') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS share FROM {documents} GROUP BY lang",
     "strip_fence": "SELECT conv_id, turn, RXREPLACE(RXREPLACE(concat('```json', '\n', text, '\n', '```'), '^```[a-z]*[ \n]*', ''), '[ \n]*```$', '') AS t FROM {conversations}",
-    "strip_reasoning": "SELECT conv_id, turn, RXREPLACE(concat('<think>', substr(text, 1, 10), '</think>', text), '(?s)<think>.*?</think>', '') AS t FROM {conversations}",
+    "strip_reasoning": "SELECT conv_id, turn, RXREPLACE(concat('<think>', text, '</think>', text), '(?s)<think>.*?</think>', '') AS t FROM {conversations}",
     "resolve_label": "SELECT conv_id, turn, CASE WHEN lower(trim(role)) = 'user' THEN 'User' WHEN contains(lower(role), 'assist') THEN 'Assist' ELSE concat('UNKNOWN_', role) END AS label FROM {conversations}",
     # nested
     "double_explode": "WITH t AS (SELECT p_partkey, EXPLODE(SPLIT(p_type, ' ')) AS a, p_name FROM {part}), u AS (SELECT p_partkey, a, EXPLODE(SPLIT(p_name, ' ')) AS b FROM t) SELECT a, b, CAST(count(*) AS BIGINT) AS n FROM u GROUP BY a, b",
     "array_join_pipe": "SELECT p_partkey, AJOIN(SPLIT(p_name, ' '), '|') AS labels FROM {part}",
     "label_vocab": "WITH t AS (SELECT DISTINCT EXPLODE(SPLIT(p_name, ' ')) AS w FROM {part}) SELECT AJOIN(ASORT(COLLECT(w)), '|') AS vocabulary FROM t",
-    "template_explode": "WITH t AS (SELECT doc_id, RXREPLACE(replace(substr(trim(text), 1, 60), '\n', ' '), '[.]+$', '') AS x FROM {documents}), v AS (SELECT doc_id, x, 0 AS k FROM t UNION ALL SELECT doc_id, concat('System that aims to ', lower(substr(x, 1, 1)), substr(x, 2)), 1 FROM t UNION ALL SELECT doc_id, concat('Use case: ', x), 2 FROM t) SELECT doc_id, CAST(k AS BIGINT) AS k, x FROM v",
+    "template_explode": "WITH t AS (SELECT doc_id, RXREPLACE(replace(trim(text), '\n', ' '), '[.]+$', '') AS x FROM {documents}), v AS (SELECT doc_id, x, 0 AS k FROM t UNION ALL SELECT doc_id, concat('System that aims to ', lower(substr(x, 1, 1)), substr(x, 2)), 1 FROM t UNION ALL SELECT doc_id, concat('Use case: ', x), 2 FROM t) SELECT doc_id, CAST(k AS BIGINT) AS k, x FROM v",
     # metrics
     "outcome_flags": P + "SELECT doc_id, truth = 1 AND pred = 1 AS tp, truth = 0 AND pred = 0 AS tn, truth = 0 AND pred = 1 AS fp, truth = 1 AND pred = 0 AS fn FROM p",
     "confusion_multi": P + f"SELECT truth, pred, {N} FROM p GROUP BY truth, pred",
