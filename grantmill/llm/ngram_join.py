@@ -258,7 +258,8 @@ def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     most = F.floor((F.col("a_n") + F.col("b_n")) / 7)
     bound = lambda k, o, i: F.when(F.col(f"{k}_band") > F.col(f"{o}_band"), F.col(f"{k}_b{i}_low")).otherwise(F.col(f"{k}_b{i}_own"))
     p = p.where(F.col("l1") >= F.greatest(bound("a", "b", 1), bound("b", "a", 1)) - most)
-    second = F.least(bound("a", "b", 2), bound("b", "a", 2)).isNull() | (2 * F.col("l1") + F.col("l2") >= F.greatest(bound("a", "b", 2), bound("b", "a", 2)) - most)
+    # deletions count only where both have sent them
+    second = bound("a", "b", 2).isNull() | bound("b", "a", 2).isNull() | (2 * F.col("l1") + F.col("l2") >= F.greatest(bound("a", "b", 2), bound("b", "a", 2)) - most)
     return p.where(second).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
 
 

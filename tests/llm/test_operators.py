@@ -29,11 +29,9 @@ def _sets(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("bucket", [24, 2])
-def test_ngram_join_equals_brute_force(spark, odd, bucket):
-    """With buckets of two sets, nearly all pairs go the way of deletions, stars and blocks."""
-    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(odd, bucket=bucket).collect())
-    rows = [(r.doc_id, _sets(r.text)) for r in odd.collect()]
+def _same_as_brute_force(df, **how):
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_components(df, **how).collect())
+    rows = [(r.doc_id, _sets(r.text)) for r in df.collect()]
     ids = [d for d, _ in rows if d is not None]
     up = {d: d for d in ids}
 
@@ -50,6 +48,26 @@ def test_ngram_join_equals_brute_force(spark, odd, bucket):
     assert got == collections.Counter((d, len(s), None if d is None else find(d)) for d, s in rows)
 
 
+@pytest.mark.parametrize("bucket", [24, 2])
+def test_ngram_join_equals_brute_force(spark, odd, bucket):
+    """With buckets of two sets, nearly all pairs go the way of deletions, stars and blocks."""
+    _same_as_brute_force(odd, bucket=bucket)
+
+
+@pytest.mark.xfail(reason="open: one link, of two sets of about 15 shingles, is lost with buckets of three sets")
+def test_ngram_join_of_drifting_copies(spark):
+    """Chains of copies whose neighbours are near 0.75, of short and long texts: sets enter only some of their large buckets."""
+    rng, rows = np.random.default_rng(7), []
+    for size in (9, 20, 45, 90, 200):
+        words = [f"c{size}_{k}" for k in range(size)]
+        for _ in range(60):
+            for at in rng.integers(0, len(words), max(1, size // 45)):
+                words[at] = f"e{rng.integers(1 << 30)}"
+            cut = int(rng.integers(0, size // 8 + 1))
+            rows.append((len(rows), " ".join(words[cut:]), "s1", "en"))
+    _same_as_brute_force(spark.createDataFrame(rows, SCHEMA), bucket=3, stars=1)
+
+
 def test_ngram_join_of_nothing(spark, odd):
     assert ngram_join.join_components(odd.where("false")).count() == 0
     assert ngram_join.join_components(odd.where("text is null")).first().n_shingles == 0
