@@ -1,9 +1,9 @@
 """LM scoring: a Katz backoff bigram model with Good-Turing discounts.
 
 Tokens are the lower-cased words of a text and one end. The unigram level gives a token with count c
-(c + 0.5) / (N + 0.5 (V + 1)), which sums to one over the V known tokens and one unknown. A context is a
-word whose share of all tokens is at least 1 / CONTEXTS, or the start of a text; after any other word the
-unigram level holds as it is. After a context v, a token w seen r > 0 times has d_r * r / total(v), d_r the
+(c + 0.5) / (N + 0.5 (V + 1)), which sums to one over the V known tokens and one unknown. A context is any
+word of the training documents, or the start of a text; after an unknown word the unigram level holds as it
+is. After a context v, a token w seen r > 0 times has d_r * r / total(v), d_r the
 Good-Turing discount up to r = K, and any other token has alpha(v) times its unigram probability. alpha(v)
 is the mass left by the seen tokens divided by the unigram mass of the unseen ones, so that the
 probabilities after each context sum to one.
@@ -14,6 +14,11 @@ are dealt by token and context, and pairs of two very frequent tokens (share 1 /
 scored where the text is, from a table that can't have more than FREQUENT^2 rows. Every table that is sent
 to all executors is bounded by CONTEXTS or FREQUENT^2 at any size of the corpus.
 
+Words with a share of at least 1 / CONTEXTS have ids and their totals and alphas are sent to all. Any other
+context is rare: its pairs, total and alpha are in tables dealt by context, the parts after those by token.
+Where the token is rare too, its unigram probability comes from the token's part and the rest of the score
+from the context's, whose table has the unigram counts of the followers.
+
 A null or empty text is its end alone. Rows that repeat are learnt from and scored each. Words are
 compared by 64-bit hashes.
 """
@@ -91,7 +96,7 @@ def unigrams(docs: DataFrame) -> DataFrame:
 
 
 class Head:
-    """The contexts, sorted by hash, with their counts; id 0 is every other word. Pairs of frequent ones have codes."""
+    """The frequent contexts, sorted by hash, with their counts; id 0 is every other word. Pairs of frequent ones have codes."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, n: int):
         order = np.argsort(words)
@@ -143,21 +148,33 @@ def _grouped(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w[start], np.diff(np.append(start, len(w))).astype(np.uint32)
 
 
+def _by_context(v: np.ndarray, head: Head, parts: int) -> np.ndarray:
+    """The parts of rare contexts: they come after the parts of the tokens."""
+    none = np.zeros(len(v), np.int64)
+    return parts + head.parts(v, none, none, parts)
+
+
 def counts(docs: DataFrame, head, parts: int) -> DataFrame:
-    """part, blob: each chunk's distinct (token, context) with their counts, packed."""
+    """part, blob: each chunk's distinct (token, context) with their counts, packed.
+
+    A frequent context is its id, a rare one its hash; pairs of a rare context and a frequent token are dealt
+    by context, as (context, token id).
+    """
 
     def run(batches):
         h = head.value
         for _, _, _, _, w, v in _chunks(batches, True):
             vid, wid = h.ids(v), h.ids(w)
-            away = ~h.near(vid, wid)[0]
-            w, vid, wid = w[away], vid[away], wid[away]
-            order = np.lexsort((vid, w))
-            w, vid, wid = w[order], vid[order], wid[order]
-            start = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (vid[1:] != vid[:-1])))[: len(w)])
-            r = np.diff(np.append(start, len(w)))
-            w, vid, wid = w[start], vid[start], wid[start]
-            found = [(p, packed([*_grouped(c[0]), c[1].astype(np.uint16), c[2].astype(np.uint32)])) for p, c in _split(h.parts(w, wid, vid, parts), [w, vid, r])]
+            away = (vid > 0) & ~h.near(vid, wid)[0]
+            found = []
+            for first, second, kind, part in (
+                (w[away], vid[away], np.uint16, lambda a, b: h.parts(a, h.ids(a), b, parts)),
+                (w[both := (vid == 0) & (wid == 0)], v[both], np.uint64, lambda a, b: h.parts(a, np.zeros(len(a), np.int64), b, parts)),
+                (v[rare := (vid == 0) & (wid > 0)], wid[rare], np.uint16, lambda a, b: _by_context(a, h, parts)),
+            ):
+                first, second, r = _merged(first, second, np.ones(len(first), np.int64))
+                if len(r):
+                    found += [(p, packed([*_grouped(c[0]), c[1].astype(kind), c[2].astype(np.uint32)])) for p, c in _split(part(first, second), [first, second, r])]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["part", "blob"])
 
     return map_arrow(_keyed(docs), run, "part int, blob binary")
@@ -182,43 +199,70 @@ def _stats(v: np.ndarray, r: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]
 
 
 def model(sent: DataFrame, head, parts: int) -> DataFrame:
-    """The partitioned count tables (part, blob) and, in rows with vid, each partition's sums per context."""
+    """The partitioned count tables (part, blob) and, in rows with vid, each partition's sums per frequent context.
+
+    Parts of rare contexts get one table of their pairs with frequent tokens and, from the parts of the tokens,
+    those with rare tokens and the tokens' counts. Their sums are one row, of vid 0.
+    """
     schema = "part int, blob binary, vid long, " + ", ".join(f"{c} long" for c in _STATS)
+    names = ["part", "blob", "vid", *_STATS]
+
+    def tables(found):
+        none = [pa.nulls(len(found), pa.int64()) for _ in names[2:]]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary()), *none], names)
+
+    def sums(p, s):
+        n = len(s["vid"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), pa.nulls(n, pa.binary()), *[pa.array(s[x]) for x in names[2:]]], names)
 
     def run(batches):
         h = head.value
-        own: dict[int, list] = {}
-        size: dict[int, int] = {}
+        own: dict[tuple[int, bool], list] = {}  # by part and whether both words are rare
+        size: dict[tuple[int, bool], int] = {}
 
         def shrink(p):
             w, v, r = (np.concatenate(x) for x in zip(*own[p], strict=True))
             own[p] = [_merged(w, v, r)]
             size[p] = 2 * len(own[p][0][0])
 
+        def add(p, w, v, r):
+            own.setdefault(p, []).append((w, v, r))
+            # merged when what came in since is as much as there was: bounded by the distinct pairs
+            if sum(len(x[0]) for x in own[p]) > max(4_000_000, size.get(p, 0)):
+                shrink(p)
+
         for b in batches:
             for p, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 words, k, v, r = unpacked(blob.as_py())
-                own.setdefault(p, []).append((np.repeat(words, k), v, r.astype(np.int64)))
-                # merged when what came in since is as much as there was: bounded by the distinct pairs
-                if sum(len(x[0]) for x in own[p]) > max(4_000_000, size.get(p, 0)):
-                    shrink(p)
-        for p in list(own):
-            shrink(p)
-            w, v, r = own.pop(p)[0]
+                r = r.astype(np.int64)
+                both = v.dtype == np.uint64
+                add((p, both), np.repeat(words, k), v, r)
+                if both:  # the token's own count has them as well
+                    add((p, False), words, np.zeros(len(words), np.uint16), np.add.reduceat(r, np.cumsum(k.astype(np.int64)) - k))
+        for p in sorted({p for p, _ in own}):
+            shrink((p, False))
+            w, v, r = own.pop((p, False))[0]
             words, k = _grouped(w)
+            if p >= parts:
+                yield tables([(p, packed([words, k, v, r.astype(np.uint32)]))])
+                yield sums(p, _stats(np.zeros(len(r), np.int64), r, r))
+                continue
             c = np.add.reduceat(r, np.cumsum(k.astype(np.int64)) - k) if len(words) else r
             wid = h.ids(words)
             c = np.where(wid > 0, h.counts[np.maximum(wid, 1) - 1], c)
-            blob = packed([words, k, c.astype(np.int64), v, r])
-            none = lambda t: pa.nulls(1, t)
-            names = ["part", "blob", "vid", *_STATS]
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary()), *[none(pa.int64()) for _ in names[2:]]], names)
+            yield tables([(p, packed([words, k, c.astype(np.int64), v, r.astype(np.uint32)]))])
             in_context = v > 0
-            s = _stats(v[in_context], r[in_context], np.repeat(c, k)[in_context])
-            n = len(s["vid"])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), pa.nulls(n, pa.binary()), *[pa.array(s[x]) for x in names[2:]]], names)
+            yield sums(p, _stats(v[in_context], r[in_context], np.repeat(c, k)[in_context]))
+            if (p, True) in own:
+                shrink((p, True))
+                w, v, r = own.pop((p, True))[0]
+                yield sums(p, _stats(np.zeros(len(r), np.int64), r, r))
+                c = c[np.searchsorted(words, w)]
+                order = np.argsort(v, kind="stable")
+                w, v, r, c = w[order], v[order], r[order], c[order]
+                yield tables([(q, packed([*_grouped(x[0]), x[1], x[2].astype(np.uint32), x[3].astype(np.uint32)])) for q, x in _split(_by_context(v, h, parts), [v, w, r, c])])
 
-    return map_arrow(sent.repartition(parts, "part"), run, schema)
+    return map_arrow(sent.repartition(2 * parts, "part"), run, schema)
 
 
 class Parameters:
@@ -229,19 +273,17 @@ class Parameters:
         self.norm = n + 0.5 * (v + 1)
         times = [int(stats[f"n{k}"].sum()) for k in range(1, K + 2)]
         self.discount = self.good_turing(times)
-        d = np.concatenate(([0.0], self.discount))
-        total = np.zeros(contexts + 1)
-        left = np.ones(contexts + 1)
-        unseen = np.ones(contexts + 1)
-        at = stats["vid"]
-        kept = sum(d[k] * k * stats[f"n{k}"] for k in range(1, K + 1)) + stats["more"]
-        total[at] = stats["total"]
-        total[at] += kept >= total[at] * (1 - 1e-9)  # nothing was discounted: one more keeps mass for the rest
-        left[at] = 1 - kept / total[at]
-        unseen[at] = 1 - (stats["mass"] + 0.5 * stats["seen"]) / self.norm
-        self.log_total = np.log10(np.maximum(total, 1))
-        self.log_alpha = np.log10(left) - np.log10(unseen)
-        self.log_alpha[0] = 0.0
+        self.log_total, self.log_alpha = np.zeros(contexts + 1), np.zeros(contexts + 1)
+        own = stats["vid"] > 0  # the row of id 0 is of all rare contexts
+        at = stats["vid"][own]
+        self.log_total[at], self.log_alpha[at] = self.levels({c: x[own] for c, x in stats.items()})
+
+    def levels(self, stats: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the total and of alpha of contexts with these sums."""
+        kept = sum(d * k * stats[f"n{k}"] for k, d in enumerate(self.discount, 1)) + stats["more"]
+        total = stats["total"].astype(float)
+        total += kept >= total * (1 - 1e-9)  # nothing was discounted: one more keeps mass for the rest
+        return np.log10(total), np.log10(1 - kept / total) - np.log10(1 - (stats["mass"] + 0.5 * stats["seen"]) / self.norm)
 
     @staticmethod
     def good_turing(times: list[int]) -> np.ndarray:
@@ -259,9 +301,63 @@ class Parameters:
 
     def score(self, v: np.ndarray, r: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Log10 probabilities of tokens seen r times after context ids v."""
+        return np.where((v > 0) & (r > 0), self.seen(r) - self.log_total[v], self.log_alpha[v] + base)
+
+    def seen(self, r: np.ndarray) -> np.ndarray:
+        """Log10 of the discounted counts."""
         d = np.concatenate((self.discount, [1.0]))[np.minimum(np.maximum(r, 1), K + 1) - 1]
-        seen = np.log10(d * np.maximum(r, 1)) - self.log_total[v]
-        return np.where((v > 0) & (r > 0), seen, self.log_alpha[v] + base)
+        return np.log10(d * np.maximum(r, 1))
+
+
+def _found(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of x in a sorted table and which of them are there."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
+
+
+class Rare:
+    """The rare contexts of a part: their pairs, totals and alphas."""
+
+    def __init__(self, blobs: list[list[np.ndarray]], head: Head, params: Parameters):
+        self.head, self.params = head, params
+        near = [b for b in blobs if len(b) == 4]
+        far = [b for b in blobs if len(b) == 5]
+        join = lambda x, kind: np.concatenate([np.empty(0, kind), *x])
+        v1, v2 = (join([np.repeat(b[0], b[1]) for b in x], np.uint64) for x in (near, far))
+        wid, r1 = (join([b[i].astype(np.int64) for b in near], np.int64) for i in (2, 3))
+        w, r2, c = join([b[2] for b in far], np.uint64), *(join([b[i].astype(np.int64) for b in far], np.int64) for i in (3, 4))
+        self.words, at = np.unique(np.concatenate((v1, v2)), return_inverse=True)
+        self.log_total, self.log_alpha = params.levels(_stats(at, np.concatenate((r1, r2)), np.concatenate((head.counts[wid - 1], c))))
+        code, pair = (at[: len(v1)] << 16) + wid, self.pair(v2, w)
+        order, order2 = np.argsort(code), np.argsort(pair)
+        self.code, self.r = code[order], r1[order]
+        self.pairs, self.pair_r, self.pair_c = pair[order2], r2[order2], c[order2]
+
+    @staticmethod
+    def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return splitmix(splitmix(v) + w)
+
+    def score(self, words, k, wid, w) -> tuple[np.ndarray, np.ndarray]:
+        """Unigram counts (0 where the token is rare) and log10 probabilities of tokens after these contexts.
+
+        wid has the tokens' ids, w the rare tokens. Those get their unigram probability in their own part; here
+        it is taken off again where the pair is seen."""
+        at, known = _found(self.words, words)
+        at, known, v = np.repeat(at, k), np.repeat(known, k), np.repeat(words, k)
+        often = wid > 0
+        r, taken, c = np.zeros(len(wid), np.int64), np.zeros(len(wid)), np.where(often, self.head.counts[np.maximum(wid, 1) - 1], 0)
+        base = np.where(often, self.params.base(c), 0.0)
+        place, hit = _found(self.code, (at << 16) + wid)
+        hit &= often & known
+        r[hit] = self.r[place[hit]]
+        place, hit = _found(self.pairs, self.pair(v[~often], w))
+        rare = np.flatnonzero(~often)[hit]
+        r[rare], taken[rare] = self.pair_r[place[hit]], self.params.base(self.pair_c[place[hit]])
+        total, alpha = (x[at] if len(x) else np.zeros(len(at)) for x in (self.log_total, self.log_alpha))
+        return c, np.where(r > 0, self.params.seen(r) - total - taken, np.where(known, alpha, 0.0) + base)
 
 
 _SUMS = "key long, doc_id long, held_out boolean, rows int, n_tokens long, n_known long, base_score double, score double"
@@ -294,18 +390,25 @@ def near_scores(docs: DataFrame, head, near, params) -> DataFrame:
 
 
 def events(docs: DataFrame, head, parts: int) -> DataFrame:
-    """part, kind, blob: the tokens of each chunk's documents with their contexts, dealt like the counts."""
+    """part, kind, blob: the tokens of each chunk's documents with their contexts, dealt like the counts.
+
+    Tokens after a rare context go to its part; if they are rare themselves, to their own as well."""
 
     def run(batches):
         h = head.value
         for keys, _, _, sizes, w, v in _chunks(batches, False):
             vid, wid = h.ids(v), h.ids(w)
             away = ~h.near(vid, wid)[0]
-            doc = np.repeat(np.arange(len(keys)), sizes)[away]
-            w, vid, wid = w[away], vid[away], wid[away]
+            doc = np.repeat(np.arange(len(keys)), sizes)
+            away &= (vid > 0) | (wid == 0)
+            rare = np.flatnonzero(vid == 0)
+            rare = rare[np.argsort(v[rare], kind="stable")]
+            late = [(p, packed([keys, *_grouped(c[0]), c[1].astype(np.uint16), c[2].astype(np.uint16), c[3][c[1] == 0]])) for p, c in _split(_by_context(v[rare], h, parts), [v[rare], wid[rare], doc[rare], w[rare]])] if len(rare) else []
+            doc, w, vid, wid = doc[away], w[away], vid[away], wid[away]
             part = h.parts(w, wid, vid, parts)
             order = np.argsort(w, kind="stable")
-            found = [(p, packed([keys, *_grouped(c[0]), c[1].astype(np.uint16), c[2].astype(np.uint16)])) for p, c in _split(part[order], [w[order], vid[order], doc[order]])]
+            found = [(p, packed([keys, *_grouped(c[0]), c[1].astype(np.uint16), c[2].astype(np.uint16)])) for p, c in _split(part[order], [w[order], vid[order], doc[order]])] if len(w) else []
+            found += late
             n = len(found)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array(np.ones(n, np.int32)), pa.array([x for _, x in found], pa.binary())], ["part", "kind", "blob"])
 
@@ -316,10 +419,25 @@ def far_scores(sent: DataFrame, tables: DataFrame, head, params, parts: int) ->
     """Sums of the tokens that travelled. Each partition's table comes before its events, which pass one by one."""
 
     def run(batches):
-        h, p, now = head.value, params.value, None
+        h, p, now, rare = head.value, params.value, None, (-1, [])
         for b in batches:
             for part, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 parts_ = unpacked(blob.as_py())
+                if part >= parts:
+                    if rare[0] != part:
+                        now, rare = None, (part, [])
+                    if kind == 0:
+                        rare[1].append(parts_)
+                        continue
+                    if isinstance(rare[1], list):
+                        rare = (part, Rare(rare[1], h, p))
+                    keys, words, k, wid, doc, w = parts_
+                    c, score = rare[1].score(words, k, wid.astype(np.int64), w)
+                    base = np.where(wid > 0, p.base(c), 0.0)
+                    add = lambda x: np.bincount(doc, weights=x, minlength=len(keys))  # noqa: E731, B023
+                    there = np.bincount(doc, minlength=len(keys)) > 0
+                    yield _sums(keys[there], None, None, np.zeros(int(there.sum())), add(c > 0)[there], add(base)[there], add(score)[there])
+                    continue
                 if kind == 0:
                     words, k, c, v, r = parts_
                     now = (part, words, c, np.repeat(np.arange(len(words)) << 16, k) + v, r)
@@ -344,7 +462,7 @@ def far_scores(sent: DataFrame, tables: DataFrame, head, params, parts: int) ->
                 n = np.zeros(int(there.sum()))
                 yield _sums(keys[there], None, None, n, add(c > 0)[there], add(base)[there], add(p.score(vid, r, base))[there])
 
-    both = sent.unionByName(tables.select("part", F.lit(0).alias("kind"), "blob")).repartition(parts, "part").sortWithinPartitions("part", "kind")
+    both = sent.unionByName(tables.select("part", F.lit(0).alias("kind"), "blob")).repartition(2 * parts, "part").sortWithinPartitions("part", "kind")
     return map_arrow(both, run, _SUMS)
 
 
@@ -363,7 +481,7 @@ def fit(docs: DataFrame) -> tuple:
     codes, rs = pairs["code"].to_numpy(np.int64), pairs["r"].to_numpy(np.int64)
     near = sc.broadcast((codes, rs))
     learnt = saved(model(counts(docs, head, parts), head, parts))
-    sums = learnt.where("vid is not null").groupBy("vid").agg(*[F.sum(c).alias(c) for c in _STATS]).toPandas()  # at most CONTEXTS rows
+    sums = learnt.where("vid is not null").groupBy("vid").agg(*[F.sum(c).alias(c) for c in _STATS]).toPandas()  # at most CONTEXTS + 2 rows
     place = np.full(FREQUENT + 3, 0)
     place[own.often[1:]] = np.arange(1, len(own.words) + 1)
     a, b = place[codes // (FREQUENT + 2)], place[codes % (FREQUENT + 2)]
