@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from grantmill.llm import katz
+from grantmill.llm import katz, urls
 
 
 @pytest.mark.parametrize("contexts", [katz.CONTEXTS, 20])
@@ -37,3 +37,19 @@ def test_katz_learns_every_history(spark, monkeypatch, contexts):
         assert abs(got[i].score - s) < 1e-6 * abs(s)
         assert abs(got[i].base_score - sum(math.log10(p1(x)) for x in w)) < 1e-6 * abs(got[i].base_score)
         assert got[i].n_tokens == len(w) and got[i].n_known == sum(uni[x] > 0 for x in w)
+
+
+def test_urls_of_branches_without_labels(spark):
+    """Undecided urls are judged by the nearest branch above them that has labels, at any depth."""
+    rows = [f"http://bad.com/en/{'abcdefghij'[i % 10]}{'xy'[i // 10]}" for i in range(20)] + ["http://bad.com/fr/1", "http://bad.com/new"]
+    rows += [f"http://s.example.com/en/7{i}" for i in range(20)] + [f"http://s.example.com/en/{c}" for c in "abcdefghijklmnopqrst"] + ["http://s.example.com/fr/1"]
+    deep = "http://d.net/x/1/2/a/b/c/d/e"
+    rules = (*urls.RULES, ("block", "d.net", "/x/1/2/a/b/c/d/e/f/"), ("allow", "d.net", "/x/1/2/a/b/c/d/e/g/"))
+    rows += [f"{deep}/f/{'abcdefghijklmnopqrst'[i]}" for i in range(20)] + [f"{deep}/g/{'abcdefghijklmnopqrst'[i]}" for i in range(20)] + [f"{deep}/h", "http://free.org/fr/1"]
+    got = {r.url: r for r in urls.judge(spark.createDataFrame([(u,) for u in rows], "url string"), rules=rules).collect()}
+    assert len(got) == len(rows)
+    assert got["http://bad.com/fr/1"].verdict == got["http://bad.com/new"].verdict == "block"
+    assert abs(got["http://bad.com/fr/1"].purity - 21 / 23) < 1e-12
+    assert got["http://s.example.com/fr/1"].verdict == got[f"{deep}/h"].verdict == got["http://free.org/fr/1"].verdict == "allow"
+    assert abs(got[f"{deep}/h"].purity - 21 / 43) < 1e-12 and abs(got[f"{deep}/f/a"].purity - 21 / 23) < 1e-12
+    assert got[f"{deep}/h"].template == "/x/{n}/{n}/a/b/c/d/e/h" and abs(got["http://free.org/fr/1"].purity - 1 / 3) < 1e-12
