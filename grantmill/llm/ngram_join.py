@@ -40,7 +40,9 @@ WORDS, BUCKET, STARS = 5, 24, 2
 #: Sets and hashes in a block, and distinct hashes compared at a time, where members of large buckets meet.
 BLOCK, BLOCK_HASHES, BLOCK_TOKENS = 2048, 400_000, 4096
 #: Signatures gathered in one partition, and held by one task before it sends them.
-PARTITION_SIGNATURES, HELD_SIGNATURES = 1_000_000, 2_000_000
+PARTITION_SIGNATURES, HELD_SIGNATURES = 1_000_000, 1_000_000
+#: Pairs of small buckets counted at a time; a pair met in two such lots is two rows, which are added up later.
+PAIRS = 500_000
 _C = np.uint64(0xA0761D6478BD642F)
 
 
@@ -199,6 +201,16 @@ def _runs(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig, ids, start, np.diff(np.append(start, len(sig)))
 
 
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs a < b and how often each stands there."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)])
+    c = np.diff(np.append(start, len(a)))
+    a, b = a[start], b[start]
+    return a[a < b], b[a < b], c[a < b]
+
+
 def _pairs(part: int, blobs: list[bytes], bucket: int, deletions: bool) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(0, least, greatest, common buckets) of the candidates and (1, key, id, ids in the bucket) of the rows in large buckets."""
     cols = [np.concatenate(x) for x in zip(*map(unpacked, blobs), strict=True)]
@@ -210,20 +222,18 @@ def _pairs(part: int, blobs: list[bytes], bucket: int, deletions: bool) -> list[
     rows = np.repeat(heavy, length)
     if rows.any():
         out.append((1, (sig[rows] | np.uint64(part) << np.uint64(40)).view(np.int64), ids[rows].view(np.int64), np.repeat(length, length)[rows]))
-    found = []
     for size in range(2, bucket + 1):
-        at = start[length == size]
-        if len(at):
-            group = ids[at[:, None] + np.arange(size)]
+        at, step = start[length == size], max(1, PAIRS * 2 // (size * (size - 1)))
+        for lo in range(0, len(at), step):
+            group = ids[at[lo : lo + step, None] + np.arange(size)]
             i, j = np.triu_indices(size, 1)
-            found.append(np.stack([group[:, i].ravel(), group[:, j].ravel()], 1))
-    if found:
-        p = np.concatenate(found)
-        gone, low = p >> np.uint64(1) & np.uint64(1), p & np.uint64(1)
-        keep = (low.sum(1) < 2) & ((gone.sum(1) == 1) if deletions else True)
-        p = np.sort(p[keep] >> np.uint64(2), axis=1)
-        p, c = np.unique(p[p[:, 0] < p[:, 1]], axis=0, return_counts=True)
-        out.append((0, np.ascontiguousarray(p[:, 0]).view(np.int64), np.ascontiguousarray(p[:, 1]).view(np.int64), c))
+            a, b = group[:, i].ravel(), group[:, j].ravel()
+            keep = (a & b & np.uint64(1)) == 0
+            if deletions:
+                keep &= ((a ^ b) & np.uint64(2)) != 0
+            a, b = a[keep] >> np.uint64(2), b[keep] >> np.uint64(2)
+            a, b, c = _counted(np.minimum(a, b), np.maximum(a, b))
+            out.append((0, a.view(np.int64), b.view(np.int64), c))
     return out
 
 
@@ -441,9 +451,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, bucket
     # first each node with its least candidate, and each member of large buckets with the most central one of its largest
     first = named.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links, comps, open_rows = None, None, rows
-    for turn in range(stars):
+    for turn in range(max(2, stars)):  # all candidates are verified in the second turn, whatever the number of stars
         batch = first if turn == 0 else _between(named, comps) if turn == 1 else None
-        if open_rows is not None:
+        starred = open_rows is not None and turn < stars
+        if starred:
             met_in = open_rows if turn else open_rows.groupBy("node", "n", "w").agg(F.max(F.struct("size", "key")).alias("m")).select("m.key", "node", "n", "w")
             centre = met_in.groupBy("key").agg(F.max(F.struct("w", "node", "n")).alias("m")).select(F.col("key").alias("_k"), F.col("m.node").alias("c"), F.col("m.n").alias("cn"))
             spokes = met_in.join(centre, met_in["key"] == centre["_k"]).select(F.col("c").alias("a"), F.col("cn").alias("an"), F.col("node").alias("b"), F.col("n").alias("bn"))
@@ -454,7 +465,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, words: int = WORDS, bucket
         new = saved(verified(batch, sets))
         links = new if links is None else links.union(new)
         comps = components(links)
-        if open_rows is not None:
+        if starred:
             # after the first turn a centre has met its whole bucket; buckets within one component are done
             left = open_rows if turn == 0 else open_rows.join(centre, open_rows["key"] == centre["_k"]).where(F.col("node") != F.col("c")).select("key", "node", "n", "w", "size")
             c = comps.select(F.col("node").alias("_n"), "component")
