@@ -52,24 +52,18 @@ def features(docs: DataFrame) -> DataFrame:
 def lines(docs: DataFrame) -> DataFrame:
     """Each line that has a word: its document, host, place, number of words, key and the document's class.
 
-    The key is the hash of the lower-cased, trimmed line with digits as 0. The class is the least key of
-    the document's other lines: copies and most near copies share it, so a group of copies counts as one
-    document and doesn't make its own lines frequent.
+    The key is the hash of the lower-cased, trimmed line with digits as 0. The class is the hash of all the
+    document's keys in order: documents whose whole normalised texts are equal are one distinct document, so a
+    group of exact copies doesn't make its own lines frequent.
     """
-    trimmed = F.trim(F.col("line"), F.lit(WS))
     keyed = (
         docs.select(F.col("doc_id"), F.col("source").alias("host"), F.xxhash64("text").alias("text_hash"), F.split(F.coalesce("text", F.lit("")), "\n").alias("ls"))
         .select("doc_id", "host", "text_hash", F.transform("ls", lambda line: F.substring(F.md5(F.translate(F.lower(F.trim(line, F.lit(WS))), "0123456789", "0000000000")), 1, 16)).alias("keys"), "ls")
-        .select("doc_id", "host", "text_hash", F.array_sort(F.array_distinct("keys")).alias("sorted"), F.arrays_zip("keys", "ls").alias("z"))
-        .select("doc_id", "host", "text_hash", F.get("sorted", F.lit(0)).alias("k1"), F.get("sorted", F.lit(1)).alias("k2"), F.posexplode("z").alias("place", "e"))
-        .select("doc_id", "host", "text_hash", "place", F.col("e.keys").alias("key"), F.col("e.ls").alias("line"), "k1", "k2")
-        .where(F.length(trimmed) > 0)
-    )
-    return keyed.select(
-        "doc_id", "host", "text_hash", "place", "key",
-        F.coalesce(F.when(F.col("key") == F.col("k1"), F.col("k2")).otherwise(F.col("k1")), F.lit("")).alias("class"),
-        F.size(F.split(trimmed, WORD_SPLIT)).cast("long").alias("words"),
+        .select("doc_id", "host", "text_hash", F.xxhash64("keys").alias("class"), F.posexplode(F.arrays_zip("keys", "ls")).alias("place", "e"))
+        .select("doc_id", "host", "text_hash", "class", "place", F.col("e.keys").alias("key"), F.trim("e.ls", F.lit(WS)).alias("line"))
+        .where(F.length("line") > 0)
     )
+    return keyed.select("doc_id", "host", "text_hash", "place", "key", "class", F.size(F.split("line", WORD_SPLIT)).cast("long").alias("words"))
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -134,8 +128,8 @@ rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(
 l0 AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l0 WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 l1 AS (SELECT doc_id, source, place, {_TRIM} AS t, substr(md5(translate(lower({_TRIM}), '0123456789', '0000000000')), 1, 16) AS key FROM l0),
-ks AS (SELECT doc_id, list_sort(list_distinct(list(key))) AS k FROM l1 GROUP BY doc_id),
-l2 AS (SELECT l1.*, coalesce(CASE WHEN key = k[1] THEN k[2] ELSE k[1] END, '') AS class FROM l1 JOIN ks USING (doc_id) WHERE t <> ''),
+ks AS (SELECT doc_id, md5(string_agg(key, ',' ORDER BY place)) AS class FROM l1 GROUP BY doc_id),
+l2 AS (SELECT l1.*, class FROM l1 JOIN ks USING (doc_id) WHERE t <> ''),
 hosts AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 freq AS (SELECT l2.source, key FROM l2 JOIN hosts ON l2.source IS NOT DISTINCT FROM hosts.source GROUP BY l2.source, key, hosts.n
   HAVING count(DISTINCT class) >= {MIN_DOCS} AND count(DISTINCT class) > {MAX_SHARE} * hosts.n),
