@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grantmill.llm.common import map_arrow, table
+from grantmill.llm.common import guarded, map_arrow, table
 
-#: The pieces kept for reuse in a worker; beyond, the memory of pieces starts anew.
-KNOWN_PIECES = 100_000
+#: The pieces, and about the characters in them, kept for reuse in a worker; beyond, the memory of pieces starts anew.
+KNOWN_PIECES, KNOWN_CHARS = 100_000, 2_000_000
 
 
 @functools.lru_cache(1)
@@ -73,15 +73,17 @@ class Encoder:
         self.lib, self.split, self.most = tokenizer(path), regex.compile(pattern).findall, known_pieces
         self.table = str.maketrans({b: c for b, c in enumerate(byte_characters())})
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
+        if len(self.known) + len(new) > self.most or self.size > KNOWN_CHARS:
+            self.known, self.size = {}, 0
             new = list(pieces)
         shown = [p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table) for p in new]
         for p, e in zip(new, self.lib.encode_batch_fast(shown, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
+        self.size += sum(map(len, new))
 
     def __call__(self, text: str) -> list[bytes]:
         """The packed ids of each piece."""
@@ -111,6 +113,7 @@ def offsets(text: str, tokens: list[bytes]) -> list[tuple[int, int]]:
     return [(int(place[e - len(t)]), int(place[e - 1]) + 1) for t, e in zip(tokens, ends, strict=True)]
 
 
+@guarded(named=("text",))
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", with_offsets: bool = False) -> DataFrame:
     """df without the text, with n_tokens, ids (packed) and, if asked, offsets as array<struct<start, end>>."""
     rest = [c for c in df.columns if c.lower() not in ("n_tokens", "ids", "offsets", text.lower())]
@@ -135,6 +138,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", with_offs
     return map_arrow(df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`")), run, schema)
 
 
+@guarded(named=("ids",))
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """df with decoded (bytes)."""
     rest = [c for c in df.columns if c.lower() != "decoded"]
@@ -154,6 +158,7 @@ def decoded_text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
+@guarded("text")
 def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers as P
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import inspect
 import os
 import tempfile
 import uuid
@@ -26,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where none is configured (tests, local mode)."""
+    """The folder in spark.checkpoint.dir; a local one only in local mode where none is set, an error on a cluster."""
     if folder := spark.conf.get("spark.checkpoint.dir", ""):
         return folder
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="grantmill-"))
     return sc.getCheckpointDir()
 
@@ -49,7 +53,54 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a stored table that nothing reads any more."""
+    delete_path(df.sparkSession, df.stored_path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the cluster drop shuffle files, broadcasts and checkpoints of finished steps that nothing refers to.
+
+    Spark does so when the driver's collector finds their handles gone, by default only every half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def guarded(*needed: str, named: tuple[str, ...] = ()) -> Callable:
+    """For operators over a table: its columns beyond the needed ones have names inside that nothing else uses.
+
+    ``named`` are the operator's parameters that hold the name of a needed column. Extra columns may thus have any
+    name, repeated ones too; they come back under it, but for those of which the operator computes a column itself
+    (in any case), which replaces them."""
+
+    def wrap(fn):
+        signature = inspect.signature(fn)
+
+        @functools.wraps(fn)
+        def run(df, *args, **kwargs):
+            bound = signature.bind(df, *args, **kwargs)
+            bound.apply_defaults()
+            own = [*needed, *(bound.arguments[x] for x in named)]
+            low = [c.lower() for c in df.columns]
+            place = {low.index(n.lower()): n for n in own if n.lower() in low}
+            extra = {f"extra__{i}": c for i, c in enumerate(df.columns) if i not in place}
+            out = fn(df.toDF(*[place.get(i, f"extra__{i}") for i in range(len(low))]), *args, **kwargs)
+            computed = {c.lower() for c in out.columns if c not in extra}
+            return out.select(*[F.col(f"`{c}`").alias(extra.get(c, c)) for c in out.columns if c not in extra or extra[c].lower() not in computed])
+
+        return run
+
+    return wrap
 
 
 def with_columns(df: DataFrame, columns: dict) -> DataFrame:

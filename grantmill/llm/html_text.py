@@ -1,9 +1,11 @@
 """HTML extraction: flat text blocks, judged by a decision tree.
 
-The page is cut into blocks at block-level tags. Each block has its number of words and link density,
-those of its neighbours, and whether it stands in an article or, within that, in an element whose tag or
-class names a frame part. A small tree fitted on the labelled blocks of ``html_labels`` says which blocks
-are the article. Null and empty pages have the empty text. No block and no character is capped.
+The page is cut into blocks at block-level tags, in time linear in its length. Each block has its number of
+words and link density, those of its neighbours, whether it is a heading or a paragraph, and whether it stands
+in an article or, within that, in an element whose tag or class names a frame part. A small tree fitted on the
+labelled blocks of ``html_labels`` says which blocks are the article. Null and empty pages have the empty text.
+Rows are judged one by one, so repeated rows get equal results. No block and no character is capped. Extra
+columns may have any name; text and n_chars replace input columns so named.
 """
 
 from __future__ import annotations
@@ -18,34 +20,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grantmill.llm.common import map_arrow, table
+from grantmill.llm.common import guarded, map_arrow, table
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _RAW = frozenset("script style noscript template iframe object svg math title head".split())
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
+_PARAGRAPH = frozenset("p li blockquote pre dd dt".split())
 _CONTAINER = frozenset("article aside body details dialog div dl fieldset figure footer form header main menu nav ol section select table ul".split())
 _FRAME_TAG = frozenset("nav footer aside form menu select button dialog fieldset textarea option label".split())
 _FRAME_NAME = re.compile(r"(?<![a-z])(nav|navbar|navigation|menu|foot|footer|header|masthead|side|sidebar|ad|ads|advert|advertisement|adverts|promo|promotion|sponsor|sponsored|cookie|cookies|consent|gdpr|notice|alert|banner|comment|comments|reply|replies|disqus|share|sharing|social|related|recommended|more|subscribe|subscription|newsletter|signup|login|breadcrumb|breadcrumbs|popup|modal|overlay|widget|toolbar|pagination|pager|tags|meta|byline|copyright|legal|skip)(?![a-z])", re.I)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "in_article", "framed", "heading")
+_SPACE = frozenset(" \t\n\f\r\v")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTR = re.compile(r"[\s/]*([^\s/>=]+|=[^\s/>=]*)\s*")
+_BARE = re.compile(r"[^\s>]*")
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW} | {"head": re.compile(r"</head\s*>|(?=<body\b)", re.I)}
+_BARRIER = ("article", "main")
+FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "in_article", "framed", "heading", "paragraph")
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, str]]:
-    """(text, words, words in links, in an article, framed, heading, label) of each block with text, in order."""
-    out, parts, stack = [], [], []
-    link = words = linked = 0
-    heading, label = False, ""
-    quiet = ""
+class _Tags:
+    """The tags of a page from left to right, in time linear in its length.
+
+    A quote only matters in the place of an attribute's value. One that nothing closes, or whose closing quote
+    stands where no value can end, is taken as a slip: the tag ends at the next >."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes: dict[str, int] = {}  # where the next of each quote is: found once, however many tags ask
+
+    def quote(self, q: str, at: int) -> int:
+        if self.quotes.get(q, -2) < at and self.quotes.get(q) != -1:
+            self.quotes[q] = self.page.find(q, at)
+        return self.quotes[q]
+
+    def tag(self, at: int) -> tuple[int, dict[str, str]]:
+        """The end of the tag whose name ends at this place, and its attributes."""
+        page, attrs = self.page, {}
+        while at <= self.last:
+            m = _ATTR.match(page, at)
+            if not m:
+                end = page.find(">", at)
+                return end + 1, attrs
+            name, at = m[1].lower(), m.end()
+            value = ""
+            if page[at : at + 1] == "=":
+                at += 1
+                while page[at : at + 1] in _SPACE and at < len(page):
+                    at += 1
+                q = page[at : at + 1]
+                if q in ("'", '"'):
+                    end = self.quote(q, at + 1)
+                    if end < 0 or not (page[end + 1 : end + 2] in _SPACE or page[end + 1 : end + 2] in (">", "/", "")):
+                        return page.find(">", at) + 1, attrs
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    m = _BARE.match(page, at)
+                    value, at = m[0], m.end()
+            attrs.setdefault(name, value)
+        return len(page), attrs
+
+
+def blocks(page: str, labelled: bool = False) -> list[tuple[str, int, int, bool, bool, bool, bool, str]]:
+    """(text, words, words in links, in an article, framed, heading, paragraph, label) of each block with text, in order.
+
+    A < that starts no tag, or that no > follows, is text. Only pages of the labelled table have labels."""
+    out, parts = [], []
+    stack = [("", False, False)]  # tag, in an article, framed since that article began
+    scopes: list[dict[str, int]] = [{}]  # open containers by tag, since the last article began
+    tags = _Tags(page)
+    linked, link, label, label_framed = 0, False, "", False
+    heading = paragraph = False
+    headless = False
 
     def flush() -> None:
-        nonlocal words, linked
+        nonlocal linked
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                inner = max((i for i, x in enumerate(stack) if x[0] in ("article", "main")), default=-1)
-                out.append((text, len(text.split()), min(linked, len(text.split())), inner >= 0, any(x[1] for x in stack[inner + 1 :]), heading, label))
-        words = linked = 0
+                n = len(text.split())
+                out.append((text, n, min(linked, n), stack[-1][1], stack[-1][2] or label_framed, heading, paragraph, label))
+        linked = 0
 
     def said(text: str) -> None:
         nonlocal linked
@@ -54,53 +108,76 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, str]]:
             if link:
                 linked += len(_html.unescape(text).split())
 
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    at, n = 0, len(page)
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0 or lt > tags.last and not page.startswith("<!--", lt):
+            said(page[at:])
+            break
+        said(page[at:lt])
+        at = lt
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = n if end < 0 else end + 3
             continue
-        if not quiet:
-            said(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if page[at + 1 : at + 2] in ("!", "?"):
+            at = page.find(">", at) + 1
             continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if quiet:
-            if closing and tag == quiet:
-                quiet = ""
+        closing = page[at + 1 : at + 2] == "/"
+        m = _NAME.match(page, at + 1 + closing)
+        if not m:
+            if closing:  # an end tag without a name is no text
+                at = page.find(">", at) + 1
+            else:
+                said("<")
+                at += 1
             continue
-        if tag in _RAW and not closing:
-            if tag == "head":  # may lack its end tag: ends at the body
-                end = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
-                at = end.start() if end else at
-            elif not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        tag = m[0].lower()
+        at, attrs = tags.tag(m.end())
+        alone = page[at - 2 : at] == "/>"
+        if tag in _RAW:
+            if not closing and not (alone and tag in ("svg", "math")) and not (tag == "head" and headless):
+                end = _ENDS[tag].search(page, at)
+                if tag == "head":  # may lack its end tag: then nothing is skipped
+                    headless = end is None
+                    at = end.end() if end else at
+                else:
+                    at = end.end() if end else n
             continue
         if tag == "a":
-            link = 0 if closing else 1
-        elif tag == "br" or tag in ("img", "input", "wbr"):
+            link = not closing
+        elif tag in ("br", "img", "input", "wbr"):
             parts.append(" ")
         elif tag in _BLOCK:
             flush()
             heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-            attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(m[3])} if m[3] and not closing else {}
-            label = attrs.get("data-y", "") if not closing else ""
+            paragraph = not closing and (heading or tag in _PARAGRAPH)
+            label = attrs.get("data-y", "") if labelled and not closing else ""
+            names = " ".join(attrs.get(k, "") for k in ("class", "id", "role")) if attrs and not closing else ""
+            named = bool(names and _FRAME_NAME.search(names))
+            label_framed = False
             if tag in _CONTAINER and tag != "body":
                 if closing:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == tag:
-                            del stack[i:]
-                            break
-                        if stack[i][0] in ("article", "main"):  # a stray end tag doesn't close the article
-                            break
-                elif not m[3].endswith("/"):
-                    names = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-                    framed = tag in _FRAME_TAG or bool(_FRAME_NAME.search(names)) or (tag == "header" and not any(x[0] in ("article", "main") for x in stack))
-                    stack.append((tag, framed))
-            elif not closing and attrs and (tag in _FRAME_TAG or _FRAME_NAME.search(" ".join(attrs.get(k, "") for k in ("class", "id")))):
-                label = label or "framed"
-    if not quiet:
-        said(page[at:])
+                    if scopes[-1].get(tag):
+                        while True:
+                            top = stack.pop()[0]
+                            scopes[-1][top] -= 1
+                            if top == tag:
+                                break
+                    elif tag in _BARRIER and len(scopes) > 1:
+                        while stack.pop()[0] not in _BARRIER:
+                            pass
+                        scopes.pop()
+                elif not alone:
+                    inside, framed = stack[-1][1:]
+                    if tag in _BARRIER:  # what stands around an article doesn't make it a frame
+                        stack.append((tag, True, False))
+                        scopes.append({})
+                    else:
+                        stack.append((tag, inside, framed or named or tag in _FRAME_TAG or (tag == "header" and not inside)))
+                        scopes[-1][tag] = scopes[-1].get(tag, 0) + 1
+            elif not closing:
+                label_framed = named or tag in _FRAME_TAG
     flush()
     return out
 
@@ -108,7 +185,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, str]]:
 def features(found: list[tuple]) -> np.ndarray:
     words = np.array([0, *(b[1] for b in found), 0], dtype=float)
     density = np.array([0, *(b[2] / b[1] for b in found), 0], dtype=float)
-    flags = np.array([(b[3], b[4] or b[6] == "framed", b[5]) for b in found], dtype=float).reshape(-1, 3)
+    flags = np.array([b[3:7] for b in found], dtype=float).reshape(-1, 4)
     return np.column_stack([words[1:-1], density[1:-1], words[:-2], density[:-2], words[2:], density[2:], flags])
 
 
@@ -146,13 +223,13 @@ def predict(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 @functools.lru_cache(1)
 def model() -> tuple:
-    from grantmill.llm.html_labels import PAGES
+    from grantmill.llm.html_labels import pages
 
     xs, ys = [], []
-    for page in PAGES:
-        found = blocks(page)
+    for page in pages():
+        found = blocks(page, labelled=True)
         xs.append(features(found))
-        ys.append(np.array([b[6] == "1" for b in found], dtype=float))
+        ys.append(np.array([b[7] == "1" for b in found], dtype=float))
     return fit_tree(np.concatenate(xs), np.concatenate(ys))
 
 
@@ -163,6 +240,7 @@ def main_text(page: str | None, tree: tuple) -> str:
     return "\n".join(b[0] for b, keep in zip(found, predict(tree, features(found)), strict=True) if keep)
 
 
+@guarded(named=("html",))
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages without the HTML, with text and n_chars."""
     rest = [c for c in pages.columns if c.lower() not in (html.lower(), "text", "n_chars")]

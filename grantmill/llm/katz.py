@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantmill.llm.common import map_arrow, packed, saved, splitmix, table, texts, unpacked, word_hashes
+from grantmill.llm.common import map_arrow, packed, release, saved, splitmix, table, texts, unpacked, word_hashes
 
 CONTEXTS, FREQUENT, K = 60_000, 1024, 5
 CHUNK_TOKENS, PARTITION_TOKENS, LEAST_PARTITIONS = 1_000_000, 6_000_000, 24
@@ -70,8 +70,9 @@ def _chunks(batches, only_train: bool):
 
 def _chunk(docs: list):
     ids = np.array([0 if d[0] is None else d[0] for d in docs], dtype=np.int64).view(np.uint64)
+    none = np.array([d[0] is None for d in docs], dtype=np.uint64)
     with np.errstate(over="ignore"):
-        keys = splitmix(splitmix(ids) + np.array([d[1] for d in docs], dtype=np.int64).view(np.uint64))
+        keys = splitmix(splitmix(ids) + none + np.array([d[1] for d in docs], dtype=np.int64).view(np.uint64))
     sizes = np.array([len(d[3]) for d in docs])
     w = np.concatenate([d[3] for d in docs])
     v = np.concatenate(([BOS], w[:-1]))
@@ -134,7 +135,9 @@ def near_pairs(docs: DataFrame, head) -> DataFrame:
 
 
 def _split(part: np.ndarray, columns: list[np.ndarray]):
-    """(part, columns) for each part, in order; columns sorted by part, then as they are."""
+    """(part, columns) for each part, in order; columns sorted by part, then as they are. Nothing where there are no rows."""
+    if not len(part):
+        return
     order = np.argsort(part, kind="stable")
     part, columns = part[order], [c[order] for c in columns]
     cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
@@ -366,7 +369,7 @@ _SUMS = "key long, doc_id long, held_out boolean, rows int, n_tokens long, n_kno
 def _sums(keys, ids, held, n, known, base, score) -> pa.RecordBatch:
     m = len(keys)
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys.view(np.int64)), pa.array(ids, pa.int64()) if ids is not None else pa.nulls(m, pa.int64()), pa.array(held) if held is not None else pa.nulls(m, pa.bool_()), pa.array(np.full(m, int(ids is not None), np.int32)), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
+        [pa.array(keys.view(np.int64)), pa.array(ids, pa.int64()) if ids is not None else pa.nulls(m, pa.int64()), pa.array(held) if held is not None else pa.nulls(m, pa.bool_()), pa.array(np.full(m, int(ids is not None), np.int32)), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(score.astype(np.float64))],
         [x.split()[0] for x in _SUMS.split(", ")])
 
 
@@ -490,6 +493,7 @@ def fit(docs: DataFrame) -> tuple:
     ids, at = np.unique(both["vid"], return_inverse=True)
     stats = {"vid": ids} | {c: np.bincount(at, weights=both[c], minlength=len(ids)).astype(np.int64) for c in _STATS}
     params = sc.broadcast(Parameters(int(n), int(v), stats, len(own.words)))
+    release(spark)  # the counts that travelled are in the tables now
     return head, near, params, learnt.where("blob is not null"), parts
 
 

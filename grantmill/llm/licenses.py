@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grantmill.llm.common import map_arrow, saved, table
+from grantmill.llm.common import guarded, map_arrow, saved, table
 
 #: Usual wordings of licence notices.
 TEMPLATES = (
@@ -103,6 +103,7 @@ class Matcher:
         return (*top, bool(small and top[0]))
 
 
+@guarded(named=("text",))
 def own_licenses(files: DataFrame, cosine: float = COSINE, file_words: int = FILE_WORDS, text: str = "text") -> DataFrame:
     """files without the text, with own_license, cosine, line_no and is_license_file."""
     df = {r.term: r.df for r in document_frequencies(files, text).collect()}  # at most the templates' vocabulary
@@ -120,6 +121,7 @@ def own_licenses(files: DataFrame, cosine: float = COSINE, file_words: int = FIL
     return map_arrow(files.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`")), run, schema)
 
 
+@guarded("path", "own_license", "is_license_file")
 def inherit(files: DataFrame) -> DataFrame:
     """files (with path, own_license, is_license_file) with license and license_from ('own', the directory, or null).
 

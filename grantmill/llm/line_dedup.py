@@ -2,9 +2,10 @@
 
 A line's key is the line without white space at both ends, A-Z lower-cased. A key of at least
 ``min_chars`` code points that stands in at least ``min_docs`` documents keeps its lines only in the
-document with the largest doc_id. Each row is a document: rows with the same doc_id count each, and all
-rows that hold the largest doc_id keep their lines; a null doc_id is below every other. Null and empty
-texts are one empty line and come back as they were.
+document with the largest doc_id. Rows with the same doc_id are one document, rows with a null doc_id are
+one document below every other; all rows of the document with the largest doc_id keep their lines. Null and
+empty texts are one empty line and come back as they were. Extra columns may have any name; n_lines and
+n_dropped replace input columns so named.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grantmill.llm.common import map_arrow, packed, saved, splitmix, table, unpacked, with_columns
+from grantmill.llm.common import guarded, map_arrow, packed, saved, splitmix, table, unpacked, with_columns
 
 MIN_CHARS, MIN_DOCS = 40, 5
 SHARD_KEYS = 1 << 16
@@ -114,9 +115,12 @@ def _emit_keys(min_chars: int):
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """h1, h2, n and last of the keys in at least min_docs documents; counts are added up on the map side first."""
+    """h1, h2, n and last of the keys in at least min_docs documents.
+
+    Each document counts once: its keys are dealt by key and document first, so that a line that all documents
+    share is spread over all tasks, then added up, on the map side first."""
     keys = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _emit_keys(min_chars), "h1 long, h2 long, doc_id long")
-    return keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    return keys.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
 
 
 def build_index(repeated: DataFrame, shards: int) -> DataFrame:
@@ -215,6 +219,7 @@ def _probe_shards(min_docs: int):
     return run
 
 
+@guarded("doc_id", "text")
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """docs with the struck lines gone from text, and n_lines (before) and n_dropped."""
     spark = docs.sparkSession

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grantmill.llm.common import map_arrow, table, with_columns
+from grantmill.llm.common import guarded, map_arrow, table, with_columns
 
 ROW = 64
 ITEM = T.StructType([T.StructField("place", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("caption", T.StringType())])
@@ -52,6 +52,7 @@ def feature(image: np.ndarray) -> str:
     return f"h={image.shape[0]};mean={1000 * total // n};var={(n * squares - total * total) // (n * n)};hist=" + ",".join(map(str, bins))
 
 
+@guarded(named=("text",))
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with digest (of the media's bytes) and media."""
     rest = [c for c in docs.columns if c.lower() not in (text.lower(), "digest", "media")]
@@ -141,6 +142,7 @@ def parse_sequence(html: str | None) -> list[dict]:
     return parser.items
 
 
+@guarded(named=("html",))
 def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages without the HTML, with items."""
     rest = [c for c in pages.columns if c.lower() not in (html.lower(), "items")]
@@ -153,12 +155,18 @@ def sequences(pages: DataFrame, html: str = "html") -> DataFrame:
     return map_arrow(pages.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{html}`")), run, schema)
 
 
+@guarded("items")
 def resolve(items: DataFrame, media: DataFrame, prefix: str = "media:") -> DataFrame:
-    """The media items of sequences, a row each, with what is known of their media; null where there is none."""
+    """The media items of sequences, a row each, with what is known of their media; null where there is none.
+
+    A reference that doesn't start with the prefix names no stored media. What is known of media and place and
+    caption replace input columns so named."""
     rest = [c for c in items.columns if c != "items"]
     rows = items.select(*rest, F.explode("items").alias("i")).where(F.col("i.kind") == "media")
-    rows = rows.select(*rest, F.col("i.place").alias("place"), F.col("i.caption").alias("caption"), F.substring("i.ref", len(prefix) + 1, 1 << 20).alias("_digest"))
-    return rows.join(media, rows["_digest"] == media["digest"], "left").drop("_digest").withColumnRenamed("digest", "media_sha256")
+    own = F.when(F.col("i.ref").startswith(prefix), F.expr(f"substring(i.ref, {len(prefix) + 1})"))
+    rows = rows.select(*rest, F.col("i.place").alias("place"), F.col("i.caption").alias("caption"), own.alias("_digest"))
+    media = media.withColumnRenamed("digest", "media_sha256")
+    return rows.join(media, rows["_digest"] == media["media_sha256"], "left").drop("_digest")
 
 
 def op4(spark, sf_dir):

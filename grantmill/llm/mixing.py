@@ -8,7 +8,8 @@ documents can. The ranks are cut in two steps: sums by slices of the rank find t
 target, and only that slice's documents are put in order, so that no source has to fit in one task.
 
 A null or empty text has no words and is never taken beyond its whole copies of nothing. Rows with equal
-doc_id and text have equal ranks. A null source is a source of its own, last in order.
+doc_id and text have equal ranks. A null source is a source of its own, last in order. Extra columns may have
+any name; computed columns replace input columns so named.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantmill.llm.common import WORD_SPLIT, saved, table, with_columns
+from grantmill.llm.common import WORD_SPLIT, guarded, saved, table, with_columns
 
 WEIGHTS, SHARE, MAX_COPIES, SEED = (3.0, 1.0, 2.0), 1.5, 2, "mix-1"
 SLICES = 1024
@@ -42,6 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return per.select("source", "source_size", "weight", F.when(F.col("capped"), F.col("cap")).otherwise(final * F.col("weight")).alias("target"))
 
 
+@guarded("doc_id", "source", "text")
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MAX_COPIES, seed: str = SEED, slices: int = SLICES) -> DataFrame:
     """A row for each document: its other columns without text, size, source_size, target, copies and taken."""
     spark_docs = with_columns(docs, {
@@ -79,6 +81,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return out.withColumn("taken", F.col("copies") * F.col("size")).drop(*[c for c in out.columns if c[0] == "_"], "below")
 
 
+@guarded("doc_id", "source")
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them."""
     m = mixed.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "copies").groupBy("_d", "_s").agg(F.max("copies").alias("copies")).where(F.col("copies") > 0)

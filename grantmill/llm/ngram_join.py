@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantmill.llm.common import map_arrow, packed, saved, splitmix, table, texts, unpacked, word_hashes
+from grantmill.llm.common import guarded, map_arrow, packed, saved, splitmix, table, texts, unpacked, word_hashes
 from grantmill.llm.components import components
 
 WORDS, BUCKET, STARS = 5, 24, 2
@@ -499,6 +499,7 @@ def join_components(docs: DataFrame, words: int = WORDS, bucket: int = BUCKET, s
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+@guarded("doc_id", "text")
 def without_near_copies(docs: DataFrame, **how) -> DataFrame:
     """docs with one document, the least doc_id, of each component; rows with a null doc_id stay."""
     keep = join_components(docs, **how).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_d")).distinct()

@@ -1,7 +1,8 @@
 """Quality rules: base features of a text and cross-document line frequency.
 
 DataFrame functions only. Null and empty texts have no words: all counts are 0 and the
-base rules reject them. Rows are judged one by one; repeated rows get equal results.
+base rules reject them. Rows are judged one by one; repeated rows get equal results. Extra columns may have
+any name; computed columns replace input columns so named.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantmill.llm.common import WORD_SPLIT, WS, saved, with_columns
+from grantmill.llm.common import WORD_SPLIT, WS, guarded, saved, with_columns
 
 SYMBOLS = "#*$%&|<>"
 #: A line is removed when it stands in at least MIN_DOCS distinct documents of its host and in more
@@ -99,11 +100,13 @@ def _judged(docs: DataFrame, min_docs: int, max_share: float, min_left: float, w
     return with_columns(df, {"kept": ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words"))})
 
 
+@guarded("doc_id", "text", "source")
 def quality(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """docs without text, with the features, base_failed, n_removed_words and kept."""
     return _judged(docs, min_docs, max_share, min_left, False)
 
 
+@guarded("doc_id", "text", "source")
 def judged(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """docs with the same columns, their texts without the lines above the limits."""
     df = _judged(docs, min_docs, max_share, min_left, True)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantmill.llm.common import saved, table, with_columns
+from grantmill.llm.common import guarded, saved, table, with_columns
 
 #: (verdict, host, start of the path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -96,6 +96,7 @@ def templates(labelled: DataFrame, max_children: int = MAX_CHILDREN) -> DataFram
     return t.select("host", "shape", "template", ((F.col("b") + PRIOR_BLOCK) / (F.col("l") + PRIOR_BLOCK + PRIOR_ALLOW)).alias("purity"))
 
 
+@guarded(named=("url",))
 def judge(pages: DataFrame, url: str = "url", rules=RULES, purity: float = PURITY, max_children: int = MAX_CHILDREN) -> DataFrame:
     """pages with host, path, rule, template, purity and verdict."""
     df = shaped(by_rule(parts(pages, url), rules))
