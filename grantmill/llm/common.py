@@ -7,7 +7,10 @@ import functools
 import gc
 import inspect
 import os
+import re
+import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -73,6 +76,7 @@ def release(spark: SparkSession) -> None:
 
     Spark does so when the driver's collector finds their handles gone, by default only every half hour."""
     gc.collect()
+    time.sleep(1.5)  # the handles on the Python side are given up by a thread that looks once a second
     spark.sparkContext._jvm.System.gc()
 
 
@@ -118,8 +122,22 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+ARROW_BYTES = 16 << 20
+_ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bytes(size: str) -> int:
+    """A setting of bytes, with or without a unit, as a number."""
+    m = re.fullmatch(r"(\d+)([kmgtp]?)b?", size.strip().lower())
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ") if m else sys.maxsize
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow, with this package on the workers' path wherever it is installed under the same path."""
+    """mapInArrow, with this package on the workers' path wherever it is installed under the same path.
+
+    Arrow batches, which both the executor and its worker hold, are bounded to ARROW_BYTES in this session."""
+    if _bytes(df.sparkSession.conf.get(_ARROW_CONF)) > ARROW_BYTES:
+        df.sparkSession.conf.set(_ARROW_CONF, str(ARROW_BYTES))
     env = df.sparkSession.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
@@ -202,6 +220,25 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def squeezed(arrays: list[np.ndarray]) -> bytes:
+    """packed() and compressed, the bytes of one place after the other: counts and ids nearly vanish, hashes stay."""
+    head = np.array([len(arrays)] + [x for a in arrays for x in (ord(a.dtype.char), len(a))], dtype="<i8").tobytes()
+    raw = head + b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unsqueezed(blob: bytes) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    head, at, out = np.frombuffer(raw, "<i8", 2 * n, 8), 8 + 16 * n, []
+    for code, size in zip(head[::2].tolist(), head[1::2].tolist(), strict=True):
+        kind = np.dtype(chr(code))
+        own = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(own.T).view(kind).reshape(size))
+        at += size * kind.itemsize
+    return out
+
+
 def texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
     """The UTF-8 bytes of a string column; null as empty."""
     column = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())

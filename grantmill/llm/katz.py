@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantmill.llm.common import map_arrow, packed, release, saved, splitmix, table, texts, unpacked, word_hashes
+from grantmill.llm.common import map_arrow, release, saved, splitmix, squeezed, table, texts, unsqueezed, word_hashes
 
 CONTEXTS, FREQUENT, K = 60_000, 1024, 5
-CHUNK_TOKENS, PARTITION_TOKENS, LEAST_PARTITIONS = 1_000_000, 6_000_000, 24
+CHUNK_TOKENS, PARTITION_TOKENS, LEAST_PARTITIONS = 750_000, 6_000_000, 24
 END, BOS = np.uint64(0x656E64), np.uint64(0x626F73)
 FOLDS, HELD_OUT = 5, 1
 
@@ -177,7 +177,7 @@ def counts(docs: DataFrame, head, parts: int) -> DataFrame:
             ):
                 first, second, r = _merged(first, second, np.ones(len(first), np.int64))
                 if len(r):
-                    found += [(p, packed([*_grouped(c[0]), c[1].astype(kind), c[2].astype(np.uint32)])) for p, c in _split(part(first, second), [first, second, r])]
+                    found += [(p, squeezed([*_grouped(c[0]), c[1].astype(kind), c[2].astype(np.uint32)])) for p, c in _split(part(first, second), [first, second, r])]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["part", "blob"])
 
     return map_arrow(_keyed(docs), run, "part int, blob binary")
@@ -231,31 +231,24 @@ def model(sent: DataFrame, head, parts: int) -> DataFrame:
         def add(p, w, v, r):
             own.setdefault(p, []).append((w, v, r))
             # merged when what came in since is as much as there was: bounded by the distinct pairs
-            if sum(len(x[0]) for x in own[p]) > max(4_000_000, size.get(p, 0)):
+            if sum(len(x[0]) for x in own[p]) > max(1_000_000, size.get(p, 0)):
                 shrink(p)
 
-        for b in batches:
-            for p, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                words, k, v, r = unpacked(blob.as_py())
-                r = r.astype(np.int64)
-                both = v.dtype == np.uint64
-                add((p, both), np.repeat(words, k), v, r)
-                if both:  # the token's own count has them as well
-                    add((p, False), words, np.zeros(len(words), np.uint16), np.add.reduceat(r, np.cumsum(k.astype(np.int64)) - k))
-        for p in sorted({p for p, _ in own}):
+        def finish(p):
             shrink((p, False))
             w, v, r = own.pop((p, False))[0]
             words, k = _grouped(w)
             if p >= parts:
-                yield tables([(p, packed([words, k, v, r.astype(np.uint32)]))])
+                yield tables([(p, squeezed([words, k, v, r.astype(np.uint32)]))])
                 yield sums(p, _stats(np.zeros(len(r), np.int64), r, r))
-                continue
+                return
             c = np.add.reduceat(r, np.cumsum(k.astype(np.int64)) - k) if len(words) else r
             wid = h.ids(words)
             c = np.where(wid > 0, h.counts[np.maximum(wid, 1) - 1], c)
-            yield tables([(p, packed([words, k, c.astype(np.int64), v, r.astype(np.uint32)]))])
+            yield tables([(p, squeezed([words, k, c.astype(np.int64), v, r.astype(np.uint32)]))])
             in_context = v > 0
             yield sums(p, _stats(v[in_context], r[in_context], np.repeat(c, k)[in_context]))
+            del w, v, r, k
             if (p, True) in own:
                 shrink((p, True))
                 w, v, r = own.pop((p, True))[0]
@@ -263,9 +256,24 @@ def model(sent: DataFrame, head, parts: int) -> DataFrame:
                 c = c[np.searchsorted(words, w)]
                 order = np.argsort(v, kind="stable")
                 w, v, r, c = w[order], v[order], r[order], c[order]
-                yield tables([(q, packed([*_grouped(x[0]), x[1], x[2].astype(np.uint32), x[3].astype(np.uint32)])) for q, x in _split(_by_context(v, h, parts), [v, w, r, c])])
+                yield tables([(q, squeezed([*_grouped(x[0]), x[1], x[2].astype(np.uint32), x[3].astype(np.uint32)])) for q, x in _split(_by_context(v, h, parts), [v, w, r, c])])
+
+        now = None
+        for b in batches:
+            for p, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if now is not None and p != now:  # parts come one after the other: one is held at a time
+                    yield from finish(now)
+                now = p
+                words, k, v, r = unsqueezed(blob.as_py())
+                r = r.astype(np.int64)
+                both = v.dtype == np.uint64
+                add((p, both), np.repeat(words, k), v, r)
+                if both:  # the token's own count has them as well
+                    add((p, False), words, np.zeros(len(words), np.uint16), np.add.reduceat(r, np.cumsum(k.astype(np.int64)) - k))
+        if now is not None:
+            yield from finish(now)
 
-    return map_arrow(sent.repartition(2 * parts, "part"), run, schema)
+    return map_arrow(sent.repartition(2 * parts, "part").sortWithinPartitions("part"), run, schema)
 
 
 class Parameters:
@@ -363,14 +371,13 @@ class Rare:
         return c, np.where(r > 0, self.params.seen(r) - total - taken, np.where(known, alpha, 0.0) + base)
 
 
-_SUMS = "key long, doc_id long, held_out boolean, rows int, n_tokens long, n_known long, base_score double, score double"
+_FACTS = "key long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_SUMS = "key long, n_known long, base_score double, score double"
 
 
-def _sums(keys, ids, held, n, known, base, score) -> pa.RecordBatch:
-    m = len(keys)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys.view(np.int64)), pa.array(ids, pa.int64()) if ids is not None else pa.nulls(m, pa.int64()), pa.array(held) if held is not None else pa.nulls(m, pa.bool_()), pa.array(np.full(m, int(ids is not None), np.int32)), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(np.float64)), pa.array(score.astype(np.float64))],
-        [x.split()[0] for x in _SUMS.split(", ")])
+def _sums(keys, known, base, score, **facts) -> pa.RecordBatch:
+    cols = {"key": pa.array(keys.view(np.int64)), **facts, "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base.astype(np.float64)), "score": pa.array(score.astype(np.float64))}
+    return pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
 
 def near_scores(docs: DataFrame, head, near, params) -> DataFrame:
@@ -387,9 +394,10 @@ def near_scores(docs: DataFrame, head, near, params) -> DataFrame:
             r = np.where(codes[at] == code, rs[at], 0) if len(codes) else np.zeros(len(code), np.int64)
             base = p.base(h.counts[wid - 1]) if len(wid) else np.empty(0)
             add = lambda x: np.bincount(doc, weights=x, minlength=len(keys))  # noqa: E731, B023
-            yield _sums(keys, ids, held, sizes, add(np.ones(len(doc))), add(base), add(p.score(vid, r, base)))
+            facts = {"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held), "n_tokens": pa.array(sizes.astype(np.int64))}
+            yield _sums(keys, add(np.ones(len(doc))), add(base), add(p.score(vid, r, base)), **facts)
 
-    return map_arrow(_keyed(docs), run, _SUMS)
+    return map_arrow(_keyed(docs), run, _FACTS)
 
 
 def events(docs: DataFrame, head, parts: int) -> DataFrame:
@@ -406,11 +414,11 @@ def events(docs: DataFrame, head, parts: int) -> DataFrame:
             away &= (vid > 0) | (wid == 0)
             rare = np.flatnonzero(vid == 0)
             rare = rare[np.argsort(v[rare], kind="stable")]
-            late = [(p, packed([keys, *_grouped(c[0]), c[1].astype(np.uint16), c[2].astype(np.uint16), c[3][c[1] == 0]])) for p, c in _split(_by_context(v[rare], h, parts), [v[rare], wid[rare], doc[rare], w[rare]])] if len(rare) else []
+            late = [(p, squeezed([keys, *_grouped(c[0]), c[1].astype(np.uint16), c[2].astype(np.uint16), c[3][c[1] == 0]])) for p, c in _split(_by_context(v[rare], h, parts), [v[rare], wid[rare], doc[rare], w[rare]])] if len(rare) else []
             doc, w, vid, wid = doc[away], w[away], vid[away], wid[away]
             part = h.parts(w, wid, vid, parts)
             order = np.argsort(w, kind="stable")
-            found = [(p, packed([keys, *_grouped(c[0]), c[1].astype(np.uint16), c[2].astype(np.uint16)])) for p, c in _split(part[order], [w[order], vid[order], doc[order]])] if len(w) else []
+            found = [(p, squeezed([keys, *_grouped(c[0]), c[1].astype(np.uint16), c[2].astype(np.uint16)])) for p, c in _split(part[order], [w[order], vid[order], doc[order]])] if len(w) else []
             found += late
             n = len(found)
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array(np.ones(n, np.int32)), pa.array([x for _, x in found], pa.binary())], ["part", "kind", "blob"])
@@ -425,7 +433,7 @@ def far_scores(sent: DataFrame, tables: DataFrame, head, params, parts: int) ->
         h, p, now, rare = head.value, params.value, None, (-1, [])
         for b in batches:
             for part, kind, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                parts_ = unpacked(blob.as_py())
+                parts_ = unsqueezed(blob.as_py())
                 if part >= parts:
                     if rare[0] != part:
                         now, rare = None, (part, [])
@@ -439,7 +447,7 @@ def far_scores(sent: DataFrame, tables: DataFrame, head, params, parts: int) ->
                     base = np.where(wid > 0, p.base(c), 0.0)
                     add = lambda x: np.bincount(doc, weights=x, minlength=len(keys))  # noqa: E731, B023
                     there = np.bincount(doc, minlength=len(keys)) > 0
-                    yield _sums(keys[there], None, None, np.zeros(int(there.sum())), add(c > 0)[there], add(base)[there], add(score)[there])
+                    yield _sums(keys[there], add(c > 0)[there], add(base)[there], add(score)[there])
                     continue
                 if kind == 0:
                     words, k, c, v, r = parts_
@@ -462,8 +470,7 @@ def far_scores(sent: DataFrame, tables: DataFrame, head, params, parts: int) ->
                 base = p.base(c)
                 add = lambda x: np.bincount(doc, weights=x, minlength=len(keys))  # noqa: E731, B023
                 there = np.bincount(doc, minlength=len(keys)) > 0
-                n = np.zeros(int(there.sum()))
-                yield _sums(keys[there], None, None, n, add(c > 0)[there], add(base)[there], add(p.score(vid, r, base))[there])
+                yield _sums(keys[there], add(c > 0)[there], add(base)[there], add(p.score(vid, r, base))[there])
 
     both = sent.unionByName(tables.select("part", F.lit(0).alias("kind"), "blob")).repartition(2 * parts, "part").sortWithinPartitions("part", "kind")
     return map_arrow(both, run, _SUMS)
@@ -493,17 +500,19 @@ def fit(docs: DataFrame) -> tuple:
     ids, at = np.unique(both["vid"], return_inverse=True)
     stats = {"vid": ids} | {c: np.bincount(at, weights=both[c], minlength=len(ids)).astype(np.int64) for c in _STATS}
     params = sc.broadcast(Parameters(int(n), int(v), stats, len(own.words)))
-    release(spark)  # the counts that travelled are in the tables now
     return head, near, params, learnt.where("blob is not null"), parts
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     head, near, params, tables, parts = fit(docs)
-    rows = near_scores(docs, head, near, params).unionByName(far_scores(events(docs, head, parts), tables, head, params, parts))
-    per = rows.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.first("held_out", True).alias("held_out"), F.sum("rows").alias("k"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    share = lambda c: F.col(c) / F.col("k")
-    one = per.select("doc_id", "held_out", share("n_tokens").cast("long").alias("n_tokens"), share("n_known").cast("long").alias("n_known"), F.lit(params.value.n).cast("long").alias("train_tokens"), share("base_score").alias("base_score"), share("score").alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("_k"))
+    release(docs.sparkSession)  # the counts that travelled are in the tables now
+    sums = ("n_known", "base_score", "score")
+    far = far_scores(events(docs, head, parts), tables, head, params, parts).groupBy("key").agg(*[F.sum(c).alias(f"far_{c}") for c in sums])
+    per = near_scores(docs, head, near, params).groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), F.count("*").alias("k"), *[F.sum(c).alias(c) for c in sums])
+    per = per.join(far, "key", "left")
+    share = lambda c: (F.col(c) + F.coalesce(f"far_{c}", F.lit(0))) / F.col("k")
+    one = per.select("doc_id", "held_out", "n_tokens", share("n_known").cast("long").alias("n_known"), F.lit(params.value.n).cast("long").alias("train_tokens"), share("base_score").alias("base_score"), share("score").alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "k")).alias("_k"))
     return one.drop("_k")
 
 
