@@ -54,7 +54,7 @@ STAGES = [
 ]
 
 #: Groups of near copies and merges of byte pairs are beyond a practical SQL statement; tests/llm/test_pipeline.py
-#: has a brute-force version.
+#: tests properties of each stage's rows, the operators have brute-force versions or SQL of their own.
 ORACLE_SQL = None
 
 
