@@ -31,3 +31,13 @@ UNIFIED_LABELS = {
 # fixed values: patterns
 INDUSTRY_40 = r"\b(?:piano\s+(?:nazionale\s+)?)?(?:industria|transizione|impresa)\s*[-_.]?\s*4[\s.]*0\b"
 INDUSTRY_WORDS = ("industria", "transizione", "impresa")
+
+# fixed values: sentences around a use case; %1$s with a small first letter, %2$s as written, both without final dots, %3$s the domain
+USE_CASE_TEMPLATES = (
+    "AI system that performs %1$s",
+    "An artificial intelligence solution designed for %1$s",
+    "Technology leveraging AI and machine learning for %1$s",
+    "Automated %3$s application: %1$s",
+    "%2$s. This AI-powered system automates key processes in the %3$s domain",
+    "A %3$s AI tool capable of %1$s",
+)

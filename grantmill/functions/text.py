@@ -97,8 +97,28 @@ def multi_normalise(col: Column | str, separator: str = r"\s{2,}|[|]|, ") -> Col
     return F.array_join(F.array_distinct(F.filter(F.transform(F.split(_c(col), separator), F.trim), lambda x: x != "")), "|")
 
 
-def template_variants(col: Column | str, templates: Sequence[str]) -> Column:
-    """The text and its variants: each template's %s gets the text without final dots and with a small first letter."""
-    bare = F.regexp_replace(F.trim(_c(col)), r"\.+$", "")
+def template_variants(col: Column | str, templates: Sequence[str], *extra: Column) -> Column:
+    """The text and its variants. In a template %1$s (or %s) is the text without final dots and with a small first letter,
+    %2$s the text without final dots, %3$s and so on the extra columns, empty where null. A null text has no variants."""
+    bare = F.regexp_replace(F.trim(_c(col)), r"\.+\z", "")
     low = F.concat(F.lower(F.substring(bare, 1, 1)), F.substring(bare, 2, 1 << 30))
-    return F.array(_c(col), *[F.format_string(t, low) for t in templates])
+    more = [F.coalesce(x.cast("string"), F.lit("")) for x in extra]
+    return F.when(_c(col).isNotNull(), F.array(_c(col), *[F.format_string(t, low, bare, *more) for t in templates]))
+
+
+def words(col: Column | str, longer_than: int = 2, stop: Sequence[str] = ()) -> Column:
+    """The runs of letters of any script, in small letters, of more than so many letters and not among the stop words."""
+    found = F.regexp_extract_all(F.lower(_c(col)), F.lit(r"\p{L}+"), F.lit(0))
+    keep = lambda w: (F.char_length(w) > longer_than) & ~w.isin(*stop) if stop else F.char_length(w) > longer_than
+    return F.filter(found, keep)
+
+
+def non_ascii_chars(col: Column | str) -> Column:
+    """Every character outside ASCII, in order, repeats kept."""
+    return F.regexp_extract_all(_c(col), F.lit(r"[^\x00-\x7F]"), F.lit(0))
+
+
+def map_labels(labels: Column | str, macros: Mapping[str, Sequence[str]], default: str) -> Column:
+    """The distinct macro labels of a list of labels, any case, sorted; labels that no macro names count as the default."""
+    reverse = {sub.lower(): macro for macro, subs in macros.items() for sub in subs}
+    return F.array_sort(F.array_distinct(F.transform(F.filter(_c(labels), lambda x: x.isNotNull()), lambda x: lookup(F.lower(x), reverse, default))))

@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from grantmill.operators import inequality, metrics, sampling
 from grantmill.plans.dialect import duck_sql, spark_sql
+from grantmill.plans.library import LIBRARY, SPREAD
 
 AID = """aid AS (SELECT o_orderkey AS id, o_custkey AS cup, CAST(year(o_orderdate) AS INT) AS anno, DAY(o_orderdate) AS day, o_totalprice AS amount,
  CASE WHEN o_orderstatus = 'F' THEN 'AI' ELSE 'NON_AI' END AS class, o_orderpriority AS category, (o_orderkey % 101) / CAST(100 AS DOUBLE) AS conf,
  c_name AS beneficiary, c_mktsegment AS kind, r_name AS region
  FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey)"""
-DOCS = "d AS (SELECT doc_id, text, lang, source, n_chars, trim(RXREPLACE(text, '[^a-zA-Z ]+', ' ')) AS plain FROM {documents})"
+DOCS = "d AS (SELECT doc_id, text, lang, source, n_chars FROM {documents})"
 PRED = """p AS (SELECT l.doc_id, l.quality AS truth, l.toxic, CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END AS pred, (l.doc_id % 97) / CAST(96 AS DOUBLE) AS conf, d.text, d.lang
  FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id)"""
 CELL = "CASE WHEN truth = 1 AND pred = 1 THEN 'TP' WHEN truth = 1 THEN 'FN' WHEN pred = 1 THEN 'FP' ELSE 'TN' END"
@@ -54,11 +55,10 @@ QUERIES: dict[str, str] = {
     "lookup_default": A + "SELECT id, coalesce(CASE region WHEN 'ASIA' THEN 'Oriente' WHEN 'EUROPE' THEN 'Europa' END, 'Altro') AS area FROM aid",
     "lookup_drop": A + ", m AS (SELECT 'ASIA' AS k, 'Est' AS v UNION ALL SELECT 'EUROPE', 'Ovest' UNION ALL SELECT 'AFRICA', NULL) SELECT id, v FROM aid JOIN m ON region = k WHERE v IS NOT NULL",
     "value_replace": A + "SELECT id, CASE category WHEN '1-URGENT' THEN 'HIGH' WHEN '2-HIGH' THEN 'HIGH' ELSE category END AS label FROM aid",
-    "bucket_keyword": "SELECT c_custkey, CASE WHEN upper(trim(c_mktsegment)) LIKE '%BUILD%' THEN 'PMI' WHEN upper(trim(c_mktsegment)) LIKE '%AUTO%' THEN 'Grande impresa' ELSE 'Altro' END AS size_class FROM {customer}",
     "bin_right_closed": A + ", b AS (SELECT CASE WHEN conf > 0 AND conf <= 0.5 THEN '(0, 0.5]' WHEN conf > 0.5 AND conf <= 0.9 THEN '(0.5, 0.9]' WHEN conf > 0.9 AND conf <= 1 THEN '(0.9, 1]' END AS bin FROM aid), k AS (SELECT '(0, 0.5]' AS bin UNION ALL SELECT '(0.5, 0.9]' UNION ALL SELECT '(0.9, 1]') SELECT k.bin, CAST(count(b.bin) AS BIGINT) AS n FROM k LEFT JOIN b ON k.bin = b.bin GROUP BY k.bin",
     "clip_hist": "SELECT least(x.k, 20) AS k, CAST(count(*) AS BIGINT) AS n FROM (SELECT o_custkey, CAST(count(*) AS BIGINT) AS k FROM {orders} GROUP BY o_custkey) x GROUP BY least(x.k, 20)",
     "coalesce_text": "SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END, lang) AS t FROM {documents}",
-    "refine_label": D + "SELECT doc_id, CASE WHEN lang = 'en' THEN CASE WHEN RX(lower(plain), 'tion') THEN 'Enterprise' ELSE 'Research' END ELSE lang END AS label FROM d",
+    "refine_label": D + "SELECT doc_id, CASE WHEN lang = 'en' THEN CASE WHEN RX(lower(text), 'tion') THEN 'Enterprise' ELSE 'Research' END ELSE lang END AS label FROM d",
     "log_amount": "SELECT o_orderkey, round(ln(1 + o_totalprice), 6) AS l1, round(log10(o_totalprice), 6) AS l10 FROM {orders} WHERE o_totalprice > 0",
     "truncate_text": "SELECT doc_id, CASE WHEN length(text) > 80 THEN concat(substr(text, 1, 80), '...') ELSE text END AS preview, substr(text, 1, 800) AS prompt FROM {documents}",
     "row_seq": "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS seq FROM {orders}",
@@ -66,10 +66,7 @@ QUERIES: dict[str, str] = {
     "filter_range": A + "SELECT id, conf FROM aid WHERE conf > 0.5 AND conf < 0.6",
     "filter_notnull": "SELECT doc_id FROM {documents} WHERE text IS NOT NULL AND source IS NOT NULL",
     "isin_anti": A + "SELECT id, region FROM aid WHERE NOT coalesce(region IN ('ASIA', 'EUROPE'), false)",
-    "regex_any_col": D + "SELECT doc_id FROM d WHERE (contains(lower(plain), 'licens') AND RX(lower(plain), 'licensed +under')) OR (contains(source, '1') AND RX(source, '^src1[0-9]$'))",
-    "regex_concat": D + "SELECT doc_id FROM d WHERE RX(lower(concat_ws(' ', plain, source, lang)), 'public +license|mit +license')",
-    "regex_exclude": D + "SELECT doc_id FROM d WHERE NOT coalesce(RX(lower(plain), 'license'), false)",
-    "filter_nonempty": D + "SELECT doc_id FROM d WHERE plain <> ''",
+    "filter_nonempty": "SELECT doc_id FROM {documents} WHERE trim(text) <> ''",
     "filter_prefix": "SELECT event_id, event_type FROM {events} WHERE STARTS(event_type, 'c')",
     "having_count": "SELECT o_custkey, CAST(count(DISTINCT year(o_orderdate)) AS BIGINT) AS years FROM {orders} GROUP BY o_custkey HAVING count(DISTINCT year(o_orderdate)) > 1",
     "filter_mismatch": P + "SELECT doc_id, truth, pred FROM p WHERE truth IS DISTINCT FROM pred",
@@ -145,31 +142,17 @@ QUERIES: dict[str, str] = {
     "date_format_audit": A + ", t AS (SELECT concat(CAST(day AS VARCHAR(10)), CASE WHEN id % 2 = 0 THEN '+02:00' ELSE '' END) AS x FROM aid) SELECT CASE WHEN RX(x, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN 'pure' WHEN RX(x, '[+-][0-9]{2}:[0-9]{2}$') THEN 'tz' ELSE 'other' END AS shape, " + N + " FROM t GROUP BY 1",
     "strip_tz": A + "SELECT id, RXREPLACE(concat(CAST(day AS VARCHAR(10)), CASE WHEN id % 2 = 0 THEN '+02:00' ELSE '' END), '[+-][0-9]{2}:[0-9]{2}$', '') AS day FROM aid",
     "clean_text": "SELECT doc_id, replace(RXREPLACE(concat('\"', text, '\"'), '[\r\n]+', ' '), '\"', '''') AS t FROM {documents}",
-    "clean_ascii": "SELECT doc_id, trim(RXREPLACE(RXREPLACE(RXREPLACE(text, '[\r\n\t]|[^ -~]', ' '), '[,;]', ' '), ' +', ' ')) AS t FROM {documents}",
     "non_ascii_audit": "SELECT lang, CAST(count_if(RX(text, '[^ -~\n\r\t]')) AS BIGINT) AS n, round(avg(CASE WHEN RX(text, '[^ -~\n\r\t]') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS share FROM {documents} GROUP BY lang",
     "delimiter_audit": "SELECT CAST(count_if(contains(text, ',')) AS BIGINT) AS commas, CAST(count_if(contains(text, ';')) AS BIGINT) AS semis, CAST(count_if(contains(text, '\"')) AS BIGINT) AS quotes, CAST(count_if(contains(text, '\n')) AS BIGINT) AS newlines FROM {documents}",
-    "multival_normalise": f"WITH {MULTI} SELECT id, AJOIN(ASORT(ADISTINCT(SPLIT(flags, SEP))), '|') AS flags FROM m",
     "multival_dup_count": f"WITH {MULTI} SELECT CAST(count_if(SIZE(SPLIT(flags, SEP)) <> SIZE(ADISTINCT(SPLIT(flags, SEP)))) AS BIGINT) AS dups FROM m",
-    "regex_classify": D + "SELECT doc_id, CASE WHEN RX(lower(plain), 'mit license') THEN 'mit' WHEN RX(lower(plain), 'apache') THEN 'apache' WHEN RX(lower(plain), 'general public') THEN 'gpl' ELSE 'Research' END AS label FROM d",
-    "regex_binary": D + "SELECT doc_id, CASE WHEN RX(lower(plain), 'licen[sc]e') THEN 'ai' ELSE 'non_ai' END AS label FROM d",
-    "regex_case_split": D + "SELECT doc_id, RX(plain, '(?i:apache)|MIT') AS hit FROM d",
     "md5_key": "SELECT doc_id, md5(text) AS h FROM {documents}",
-    "word_freq": D + ", t AS (SELECT EXPLODE(SPLIT(RXREPLACE(lower(plain), ' +', ' '), ' ')) AS w FROM d) SELECT w, CAST(count(*) AS BIGINT) AS n FROM t WHERE length(w) > 2 AND w NOT IN ('the', 'and', 'der', 'die', 'des', 'las', 'los') GROUP BY w",
-    "word_freq_by_class": D + ", t AS (SELECT lang, EXPLODE(SPLIT(RXREPLACE(lower(plain), ' +', ' '), ' ')) AS w FROM d) SELECT lang, w, CAST(count(*) AS BIGINT) AS n FROM t WHERE length(w) > 2 GROUP BY lang, w",
     "concat_text": "SELECT doc_id, concat_ws(' ', source, lang) AS both_, CASE WHEN doc_id % 2 = 0 THEN source END || lang AS loose FROM {documents}",
     "numeric_audit": "WITH t AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'x' ELSE CAST(o_totalprice AS VARCHAR(30)) END AS v FROM {orders}) SELECT CAST(count_if(v IS NOT NULL AND TRYDOUBLE(v) IS NULL) AS BIGINT) AS bad, CAST(count_if(TRYDOUBLE(v) < 0) AS BIGINT) AS negative, min(TRYDOUBLE(v)) AS lo, max(TRYDOUBLE(v)) AS hi, CAST(count_if(TRYDOUBLE(v) > 1000000000000000) AS BIGINT) AS huge FROM t",
-    "null_counts": "SELECT CAST(count(*) - count(text) AS BIGINT) AS text, CAST(count(*) - count(lang) AS BIGINT) AS lang, CAST(count(*) - count(source) AS BIGINT) AS source FROM {documents}",
-    "profile_columns": "SELECT 'text' AS col, CAST(count(text) AS BIGINT) AS non_null, CAST(count(DISTINCT text) AS BIGINT) AS uniq FROM {documents} UNION ALL SELECT 'lang', CAST(count(lang) AS BIGINT), CAST(count(DISTINCT lang) AS BIGINT) FROM {documents} UNION ALL SELECT 'source', CAST(count(source) AS BIGINT), CAST(count(DISTINCT source) AS BIGINT) FROM {documents}",
-    "strlen_audit": "SELECT CAST(max(length(text)) AS BIGINT) AS longest, CAST(count_if(length(text) > 2045) AS BIGINT) AS over_limit FROM {documents}",
+    "null_counts": "SELECT CAST(count(*) - count(doc_id) AS BIGINT) AS doc_id, CAST(count(*) - count(text) AS BIGINT) AS text, CAST(count(*) - count(lang) AS BIGINT) AS lang, CAST(count(*) - count(source) AS BIGINT) AS source, CAST(count(*) - count(n_chars) AS BIGINT) AS n_chars, CAST(count(*) - count(doc_id) + count(*) - count(text) + count(*) - count(lang) + count(*) - count(source) + count(*) - count(n_chars) AS BIGINT) AS total FROM {documents}",
     "mojibake_by_year": "SELECT lang, round(avg(CASE WHEN contains(text, 'Ã') THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS share FROM {documents} GROUP BY lang",
-    "strip_fence": "SELECT conv_id, turn, RXREPLACE(RXREPLACE(concat('```json', '\n', text, '\n', '```'), '^```[a-z]*[ \n]*', ''), '[ \n]*```$', '') AS t FROM {conversations}",
-    "strip_reasoning": "SELECT conv_id, turn, RXREPLACE(concat('<think>', text, '</think>', text), '(?s)<think>.*?</think>', '') AS t FROM {conversations}",
-    "resolve_label": "SELECT conv_id, turn, CASE WHEN lower(trim(role)) = 'user' THEN 'User' WHEN contains(lower(role), 'assist') THEN 'Assist' ELSE concat('UNKNOWN_', role) END AS label FROM {conversations}",
     # nested
-    "double_explode": "WITH t AS (SELECT p_partkey, EXPLODE(SPLIT(p_type, ' ')) AS a, p_name FROM {part}), u AS (SELECT p_partkey, a, EXPLODE(SPLIT(p_name, ' ')) AS b FROM t) SELECT a, b, CAST(count(*) AS BIGINT) AS n FROM u GROUP BY a, b",
     "array_join_pipe": "SELECT p_partkey, AJOIN(SPLIT(p_name, ' '), '|') AS labels FROM {part}",
     "label_vocab": "WITH t AS (SELECT DISTINCT EXPLODE(SPLIT(p_name, ' ')) AS w FROM {part}) SELECT AJOIN(ASORT(COLLECT(w)), '|') AS vocabulary FROM t",
-    "template_explode": "WITH t AS (SELECT doc_id, RXREPLACE(replace(trim(text), '\n', ' '), '[.]+$', '') AS x FROM {documents}), v AS (SELECT doc_id, x, 0 AS k FROM t UNION ALL SELECT doc_id, concat('System that aims to ', lower(substr(x, 1, 1)), substr(x, 2)), 1 FROM t UNION ALL SELECT doc_id, concat('Use case: ', x), 2 FROM t) SELECT doc_id, CAST(k AS BIGINT) AS k, x FROM v",
     # metrics
     "outcome_flags": P + "SELECT doc_id, truth = 1 AND pred = 1 AS tp, truth = 0 AND pred = 0 AS tn, truth = 0 AND pred = 1 AS fp, truth = 1 AND pred = 0 AS fn FROM p",
     "confusion_multi": P + f"SELECT truth, pred, {N} FROM p GROUP BY truth, pred",
@@ -268,8 +251,8 @@ def _run(name, spark, sf_dir):
 
 
 def queries() -> dict:
-    return {k: partial(_run, k) for k in QUERIES} | {k: v[0] for k, v in FRAMES.items()}
+    return {k: partial(_run, k) for k in QUERIES} | SPREAD | {k: v[0] for k, v in (FRAMES | LIBRARY).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: duck_sql(_words(v, True)) for k, v in QUERIES.items()} | {k: v[1] for k, v in FRAMES.items()}
+    return {k: duck_sql(_words(v, True)) for k, v in QUERIES.items()} | {k: v[1] for k, v in (FRAMES | LIBRARY).items()}
