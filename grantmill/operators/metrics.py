@@ -53,7 +53,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     # the sum of (o - e)^2 / e is n * (sum of o^2 / (x * y) - 1), for which empty cells need not be made
     part = both.join(rows, "a").join(cols, "b").agg(F.sum(F.col("o").cast("double") * F.col("o") / (F.col("x").cast("double") * F.col("y"))).alias("s"))
     size = rows.agg(F.count("*").alias("r")).join(cols.agg(F.count("*").alias("c")))
-    x = part.join(n).join(size).select((F.col("n") * (F.col("s") - 1)).alias("chi2"), ((F.col("r") - 1) * (F.col("c") - 1)).alias("dof")).first()
+    x = part.join(n).join(size).select((F.col("n") * (F.col("s") - 1)).alias("chi2"), (F.greatest(F.col("r") - 1, F.lit(0)) * F.greatest(F.col("c") - 1, F.lit(0))).alias("dof")).first()
     chi2, dof = max(x.chi2 or 0.0, 0.0), max(x.dof or 0, 0)
     return df.sparkSession.createDataFrame([(chi2, dof, chi_square_tail(chi2, dof))], "chi2 double, dof long, p double")
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from grantmill import dims
 from grantmill.functions import text
-from grantmill.operators import inequality, inference, metrics, sampling
+from grantmill.operators import inequality, inference, metrics, profile, ranking, sampling
 from grantmill.sources import files
 
 
@@ -120,3 +120,115 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda r: (r.start, r.event_type, r.n)
     assert sorted(map(key, spark.table("tumbled").collect())) == sorted(map(key, tumbling(events).collect()))
+
+
+def test_row_numbers_over_parts(spark):
+    df = spark.createDataFrame([(i, None if i % 50 == 0 else float(i * i % 97), "ab"[i % 2] if i % 7 else None) for i in range(500)], "id int, v double, g string")
+    order = [F.col("v").asc_nulls_first(), "id"]
+    rows = sorted(df.collect(), key=lambda r: (-1.0 if r.v is None else r.v, r.id))
+    for parts in (1, 2, 9):
+        got = {r.id: r.n for r in ranking.row_numbers(df, order, F.col("v"), "n", parts=parts).collect()}
+        assert got == {r.id: i + 1 for i, r in enumerate(rows)}
+        by = {r.id: r.n for r in ranking.row_numbers(df, order, F.col("v"), "n", ["g"], parts).collect()}
+        assert by == {r.id: i + 1 for g in ("a", "b", None) for i, r in enumerate(x for x in rows if x.g == g)}
+    assert ranking.row_numbers(df.where("false"), order, F.col("v"), "n").count() == 0
+
+
+def test_gini_of_groups(spark):
+    df = spark.createDataFrame([("a", 5.0), ("b", 1.0), ("b", 3.0), ("c", -1.0), (None, 2.0), (None, 2.0)], "g string, v double")
+    got = {r.g: r.gini for r in inequality.gini(df, "v", ["g"]).collect()}
+    assert got["a"] is None and abs(got["b"] - 0.25) < 1e-12 and abs(got[None]) < 1e-12 and "c" not in got
+
+
+def test_texts_of_the_library(spark):
+    assert _one(spark, "Perch\u00e9 no, l'AI 4.0 perch\u00e9", lambda c: text.words(c, 2, ["no"])) == ["perch\u00e9", "perch\u00e9"]
+    assert _one(spark, "a\u00e0\U0001f600", text.non_ascii_chars) == ["\u00e0", "\U0001f600"]
+    seven = _one(spark, "Does x..", lambda c: text.template_variants(c, dims.USE_CASE_TEMPLATES, F.lit("health")))
+    assert len(seven) == 7 and seven[0] == "Does x.." and seven[1].endswith(" does x") and seven[5].startswith("Does x. ") and seven[6].startswith("A health ")
+    assert _one(spark, None, lambda c: text.template_variants(c, dims.USE_CASE_TEMPLATES, F.lit("x"))) is None
+    labels = F.array(F.lit("NLP"), F.lit("slam"), F.lit(None).cast("string"), F.lit("odd"))
+    assert spark.range(1).select(text.map_labels(labels, {"Text": ["nlp"], "Moves": ["SLAM"]}, "Other").alias("y")).first().y == ["Moves", "Other", "Text"]
+
+
+def test_reports(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("b", "c"), (None, "a")], "t string, p string")
+    rows = [tuple(r) for r in metrics.confusion_matrix(df, "t", "p", ["c", "a", "b"]).orderBy("place").collect()]
+    assert rows == [(0, "c", 0, 0, 0), (1, "a", 0, 1, 1), (2, "b", 1, 0, 1)]
+    report = metrics.class_report(df.where("t is not null and p <> 'c'"), "t", "p")
+    avg = {r.label: r for r in metrics.averages(report).collect()}
+    assert abs(avg["macro avg"].precision - 0.75) < 1e-12 and abs(avg["weighted avg"].recall - 2 / 3) < 1e-12 and avg["macro avg"].support == 3
+    for x, dof, p in [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (18.307038, 10, 0.05), (24.995790, 15, 0.05), (0.0, 4, 1.0)]:
+        assert abs(metrics.chi_square_tail(x, dof) - p) < 1e-6
+    one = metrics.chi_square(df.where("false"), "t", "p").first()
+    assert (one.chi2, one.dof, one.p) == (0.0, 0, 1.0)
+
+
+def test_profiles(spark):
+    df = spark.createDataFrame([("x", 1), (None, 1), ("\u00e8\u00e8", None)], "`a.b` string, n int")
+    assert [tuple(r) for r in profile.profile(df).collect()] == [("a.b", "string", 2, 1, 100 / 3, 2), ("n", "int", 2, 1, 100 / 3, 1)]
+    assert [tuple(r) for r in profile.length_audit(df, 1).collect()] == [("a.b", 2, 1, 0.5)]
+    assert profile.profile(df.where("false")).first().null_pct == 0.0
+    assert {r.check: r.broken for r in profile.label_checks(df, "`a.b`", ["x", "y"], 1).collect()} == {"label not allowed": 2, "label missing": 1, "over the cap": 0}
+
+
+def test_sources_that_miss_or_differ(spark, tmp_path):
+    (tmp_path / "a_2020.csv").write_text("id,t\n1,caff\u00e8\n", encoding="latin-1")
+    (tmp_path / "a_2021.csv").write_text("id,t\n2,caff\u00e8\n", encoding="utf-8")
+    schema = files.strings(["id", "t"])
+    assert sorted((r.id, r.t, r.ANNO) for r in files.read_csv_any(spark, str(tmp_path), schema).collect()) == [("1", "caff\u00e8", 2020), ("2", "caff\u00e8", 2021)]
+    got = files.read_years(spark, f"{tmp_path}/a_{{year}}.csv", [2019, 2021, 2022], schema, ["id"])
+    assert got.columns == ["id", "ANNO"] and [tuple(r) for r in got.collect()] == [("2", 2021)]
+    none = files.read_years(spark, f"{tmp_path}/a_{{year}}.csv", [1999], schema)
+    assert none.columns == ["id", "t", "ANNO"] and none.count() == 0
+    (tmp_path / "n.txt").write_text("t;id\nx;1\n;2\n")
+    assert [tuple(r) for r in files.read_named(spark, str(tmp_path / "n.txt"), ["t", "label"], defaults={"label": "ai"}).collect()] == [("x", "ai", "n")]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b;c\\d", 2020, "x"), (1, None, 2021, "x"), (3, "e", 2020, None)], "id int, t string, ANNO int, g string")
+    files.write_unquoted(df.coalesce(1), str(tmp_path / "u"), sep=";")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "u")).collect()) == ["1;;2021;x", "2;b\\;c\\\\d;2020;x", "3;e;2020;"]
+    files.write_config(spark, str(tmp_path / "c"), {"columns": df.columns, "n": 3})
+    assert files.read_config(spark, str(tmp_path / "c")) == {"columns": df.columns, "n": 3}
+    sizes = {r.part: (r.n, r.bytes > 0) for r in files.export_years(df, str(tmp_path / "e")).collect()}
+    assert sizes == {"2020": (2, True), "2021": (1, True), "all": (3, True)}
+    files.write_texts(df, str(tmp_path / "w"), "g", "t", "id")
+    assert sorted(str(p.relative_to(tmp_path / "w")) for p in (tmp_path / "w").rglob("*.txt")) == ["none/none_desc_001.txt", "x/x_desc_001.txt", "x/x_desc_002.txt"]
+    assert (tmp_path / "w/x/x_desc_002.txt").read_text() == "b;c\\d" and (tmp_path / "w/x/x_desc_001.txt").read_text() == ""
+
+
+def test_answers_are_resumed(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"AI {i}") for i in range(40)] + [(3, "AI 3"), (None, "x")], "id int, text string")
+    path, asked = str(tmp_path / "out"), spark.sparkContext.accumulator(0)
+
+    def step(part):
+        def client(texts):
+            asked.add(len(texts))
+            return ["ai"] * len(texts)
+
+        return inference.classify(part, "text", client, concurrency=2, batch=3)
+
+    def stops(part, seen=[]):  # noqa: B006
+        seen.append(1)
+        if len(seen) > 2:
+            raise OSError("stopped")
+        return step(part)
+
+    try:
+        inference.append_answers(df, path, "id", stops, 5)
+    except OSError:
+        pass
+    done = spark.read.parquet(path).count()
+    assert 0 < done < 40
+    out = inference.append_answers(df, path, "id", step, 5)
+    assert sorted(r.id for r in out.collect()) == list(range(40)) and asked.value == 40
+    t = inference.throughput(out, seconds=2.0).first()
+    assert (t.n, t.errors, t.per_second) == (40, 0, 20.0)
+
+
+def test_minority_classes_grow(spark):
+    df = spark.createDataFrame([("a", "x")] * 5 + [("b", "y"), ("b", "Same"), (None, "z")], "g string, t string")
+    out = inference.augment_minority(df, "g", "t", lambda ts: [t if t == "Same" else t + "!" for t in ts], 3)
+    assert sorted((r.g, r.t) for r in out.where("Is_Augmented").collect()) == [("b", "y!")] and out.count() == 9
+    prompt = df.select(inference.few_shot_prompt("t", ["a", "b"], "Sort it.", [("q", "a")], 1).alias("p")).first().p
+    assert prompt == "Sort it.\nAnswer with one of: a, b.\n\nText: q\nLabel: a\n\nText: x\nLabel:"
