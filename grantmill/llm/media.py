@@ -14,7 +14,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,10 +169,24 @@ def resolve(items: DataFrame, media: DataFrame, prefix: str = "media:") -> DataF
     return rows.join(media, rows["_digest"] == media["media_sha256"], "left").drop("_digest")
 
 
+def page_of(text: Column, digest: Column, caption: Column) -> Column:
+    """A document as HTML: a paragraph for each line, and after the first half of the lines a figure that refers to its media."""
+    clean = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.split(clean, "\n")
+    half = F.floor(F.size(lines) / 2).cast("int")
+    figure = F.concat(F.lit("<figure><img src='media:"), digest, F.lit("'><figcaption>"), F.coalesce(caption.cast("string"), F.lit("null")), F.lit("</figcaption></figure>"))
+    some = lambda a: F.concat(F.lit("<p>"), F.array_join(a, "</p><p>"), F.lit("</p>"))
+    return F.concat(some(F.slice(lines, F.lit(1), half)), figure, some(F.slice(lines, half + 1, F.size(lines))))
+
+
 def op4(spark, sf_dir):
+    """Each document becomes a page of its paragraphs with its media between them; the page is parsed, the reference resolved.
+
+    `place` is the media's place in the sequence, that is the number of paragraphs before it, `n_text` the number of all
+    paragraphs (lines that aren't blank), `caption` the doc_id."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = store(with_columns(docs, {"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")}))
-    page = F.concat(F.lit("<p>Document</p><figure><img src='media:"), "digest", F.lit("'><figcaption>"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("</figcaption></figure>"))
-    items = sequences(stored.select("doc_id", "n_bytes", page.alias("html")))
-    out = resolve(items, read_back(store(docs)))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "place", "caption")
+    stored = store(with_columns(docs, {"n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "body": F.col("text")}))
+    items = sequences(stored.select("doc_id", "n_bytes", page_of(F.col("body"), F.col("digest"), F.col("doc_id")).alias("html")))
+    n_text = F.size(F.filter("items", lambda i: i["kind"] == "text")).cast("long")
+    out = resolve(with_columns(items, {"n_text": n_text}), read_back(store(docs)))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "place", "caption", "n_text")

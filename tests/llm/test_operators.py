@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grantmill.llm import bpe, html_text, katz, licenses, line_dedup, media, mixing, ngram_join, quality, urls
 
@@ -133,11 +134,34 @@ def test_media(spark, odd, monkeypatch):
         raw = next(x for x in texts[r.doc_id] if len(x) == r.n_bytes)
         full = raw + bytes(-len(raw) % 64 if raw else 64)
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        image = b"P5\n64 %d\n255\n" % (len(full) // 64) + full
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+        mean, square = sum(full) / len(full), sum(x * x for x in full) / len(full)
+        shape, m, var, hist = (x.split("=")[1] for x in r.feature.split(";"))
+        assert (int(shape), int(m)) == (len(full) // 64, int(1000 * sum(full) // len(full))) and abs(int(var) - (square - mean * mean)) <= 1
+        assert [int(x) for x in hist.split(",")] == [sum(x >> 5 == k for x in full) for k in range(8)]
+        lines = [bool(x.split()) for x in raw.decode().split("\n")]
+        assert (r.place, r.n_text, r.caption) == (sum(lines[: len(lines) // 2]), sum(lines), "null" if r.doc_id is None else str(r.doc_id))
     items = media.parse_sequence("<p>a<figure><img src='m:1' alt=x><figcaption>cap <b>1</b></figcaption></figure>b<img src='m:2'>")
     assert [(i["kind"], i["text"] or i["ref"], i["caption"]) for i in items] == [("text", "a", None), ("media", "m:1", "cap 1"), ("text", "b", None), ("media", "m:2", None)]
     assert media.parse_sequence(None) == []
 
 
+def test_media_references_stay_aligned(spark):
+    """Several references in a page, one of them repeated, one without media, one of another kind; texts with markup in them."""
+    docs = spark.createDataFrame([(1, "one <b> & two"), (2, "three")], "doc_id long, text string")
+    stored = media.store(docs)
+    d1, d2 = (r.digest for r in stored.orderBy("doc_id").collect())
+    html = f"<p>a</p><img src='media:{d2}' alt=x>b<figure><img src='media:{d1}'><img src='media:{d2}'><figcaption>both</figcaption></figure><p>c</p><img src='media:none' alt=gone><img src='http://h/p'>"
+    pages = spark.createDataFrame([(7, html), (8, None), (9, "<p>only text")], "page_id long, html string")
+    items = media.sequences(pages)
+    rows = media.resolve(items, media.read_back(stored)).orderBy("page_id", "place").collect()
+    assert [(r.page_id, r.place, r.caption, r.media_sha256) for r in rows] == [(7, 1, "x", d2), (7, 3, "both", d1), (7, 4, "both", d2), (7, 6, "gone", None), (7, 7, None, None)]
+    page = media.page_of(F.lit("x < y\n\n&amp; z\nw"), F.lit("D"), F.lit(5))
+    got = media.parse_sequence(spark.range(1).select(page.alias("p")).first().p)
+    assert [(i["text"], i["ref"], i["caption"]) for i in got] == [("x < y", None, None), (None, "media:D", "5"), ("&amp; z", None, None), ("w", None, None)]
+
+
 def test_licenses(spark):
     rows = [(1, "r/a/x", "text\nReleased under the MIT License.\nmore"), (2, "r/a/LICENSE", "All rights reserved."), (3, "r/a/b/y", "plain"), (4, "q/z", "plain"), (5, None, None), (6, "r/a/b/w", "the of and")]
     got = {r.doc_id: (r.license, r.license_from) for r in licenses.inherit(licenses.own_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string"))).collect()}
