@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantmill.llm.common import guarded, map_arrow, packed, saved, splitmix, table, texts, unpacked, word_hashes
+from grantmill.llm.common import guarded, map_arrow, packed, saved, splitmix, table, texts, trim, unpacked, word_hashes
 from grantmill.llm.components import components
 
 WORDS, BUCKET, STARS = 5, 24, 2
-#: Sets and hashes in a block, and distinct hashes compared at a time, where members of large buckets meet.
-BLOCK, BLOCK_HASHES, BLOCK_TOKENS = 2048, 400_000, 4096
+#: Sets and hashes in a block, and distinct hashes and rows compared at a time (memory only, not results), where members of large buckets meet.
+BLOCK, BLOCK_HASHES, BLOCK_TOKENS, BLOCK_ROWS = 2048, 400_000, 512, 256
 #: Signatures gathered in one partition, and held by one task before it sends them.
 PARTITION_SIGNATURES, HELD_SIGNATURES = 1_000_000, 1_000_000
 #: Pairs of small buckets counted at a time; a pair met in two such lots is two rows, which are added up later.
@@ -329,35 +329,57 @@ def _between(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _block_links(table_: pa.Table) -> pa.Table:
-    """Links between the two sides of a block pair, one for each node of the first and component of the second."""
-    side, node, comp = (table_.column(c).to_numpy() for c in ("side", "node", "component"))
-    sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table_.column("hashes")]
-    size = np.array([len(x) for x in sets])
+    """Links between the two sides of a block pair, one for each node of the first and component of the second.
+
+    The work is held in strips, of tokens while common hashes are counted and of rows while links are found; what is
+    free at the end goes back to the machine, as the worker lives on."""
+    out = _links(*(table_.column(c).to_numpy() for c in ("side", "node", "component")), [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table_.column("hashes")])
+    trim()
+    return out
+
+
+def _links(side: np.ndarray, node: np.ndarray, comp: np.ndarray, sets: list[np.ndarray]) -> pa.Table:
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    x, y = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    if len(left) and len(right):
+        right = right[np.argsort(comp[right], kind="stable")]
+        size = np.array([len(s) for s in sets])
+        same = _common(left, right, sets, size)
+        starts = np.flatnonzero(np.concatenate(([True], comp[right][1:] != comp[right][:-1])))
+        cols = np.arange(len(right), dtype=np.int32)
+        for lo in range(0, len(left), BLOCK_ROWS):
+            l, s = left[lo : lo + BLOCK_ROWS], same[lo : lo + BLOCK_ROWS].astype(np.int64)
+            linked = 100 * s >= 75 * (size[l][:, None] + size[right][None, :] - s)
+            linked &= comp[l][:, None] != comp[right][None, :]
+            first = np.minimum.reduceat(np.where(linked, cols, np.int32(len(right))), starts, axis=1)
+            i, k = np.nonzero(first < len(right))
+            x.append(node[l[i]])
+            y.append(node[right[first[i, k]]])
+    x, y = np.concatenate(x), np.concatenate(y)
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
+def _common(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+    """How many hashes each set of the left and each of the right have in common."""
     token = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owner = np.repeat(np.arange(len(sets)), size)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
     shared = np.bincount(token)[token] > 1
     token, owner = np.unique(token[shared], return_inverse=True)[1], owner[shared]
-    place = np.empty(len(sets), dtype=np.int64)
-    for k in (0, 1):
-        place[side == k] = np.arange((side == k).sum())
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    same = np.zeros((len(left), len(right)), dtype=np.float32)
     order = np.argsort(token, kind="stable")
     token, owner = token[order], owner[order]
+    place, mine = np.empty(len(sets), dtype=np.int64), np.zeros(len(sets), dtype=bool)
+    place[left], place[right], mine[left] = np.arange(len(left)), np.arange(len(right)), True
+    same = np.zeros((len(left), len(right)), dtype=np.float32)
+    m = [np.zeros((n, BLOCK_TOKENS), dtype=np.float32) for n in same.shape]
+    part = np.empty_like(same)
     for at in range(0, int(token[-1]) + 1 if len(token) else 0, BLOCK_TOKENS):
         lo, hi = np.searchsorted(token, (at, at + BLOCK_TOKENS))
         t, o = token[lo:hi] - at, owner[lo:hi]
-        m = [np.zeros((n, BLOCK_TOKENS), dtype=np.float32) for n in same.shape]
-        for k in (0, 1):
-            own = side[o] == k
+        for k, own in enumerate((mine[o], ~mine[o])):
+            m[k][:] = 0
             m[k][place[o[own]], t[own]] = 1
-        same += m[0] @ m[1].T
-    linked = 100 * same >= 75 * (size[left][:, None] + size[right][None, :] - same)
-    linked &= comp[left][:, None] != comp[right][None, :]
-    a, b = np.nonzero(linked)
-    first = np.unique(np.stack([a, np.unique(comp[right], return_inverse=True)[1][b]], 1), axis=0, return_index=True)[1] if len(a) else a
-    x, y = node[left[a[first]]], node[right[b[first]]]
-    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        same += np.matmul(m[0], m[1].T, out=part)
+    return same
 
 
 def _in_blocks(rows: DataFrame, comps: DataFrame, sets: DataFrame) -> DataFrame:
