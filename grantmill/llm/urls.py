@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from grantmill.llm.common import guarded, saved, table, with_columns
 
 #: (verdict, host, start of the path)
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 MAX_CHILDREN, Z, PRIOR_BLOCK, PRIOR_ALLOW, PURITY = 20, 1.96, 1.0, 2.0, 0.9
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
